@@ -1 +1 @@
-
+"""Plan-level helpers: written tables, checked broadcasts, graphs."""
