@@ -1,17 +1,14 @@
-"""What the operators share: picking columns, intermediate tables, checked broadcasts."""
+"""What the operators share: picking columns, reading tables, digests."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.plans.tables import Scratch, checked  # noqa: F401
+
 #: The six ASCII white-space characters, as the contracts name them.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Rows and bytes up to which a table may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def take(df: DataFrame, *names: str) -> DataFrame:
@@ -29,44 +26,3 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def digest(*cols: Column) -> tuple[Column, Column]:
     """128 bits of hash as two longs, from two seeds."""
     return F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; unset, as in tests, a temporary one becomes the checkpoint folder."""
-    set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not set_to:
-        set_to = spark.sparkContext.getCheckpointDir()
-        if not set_to:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathom-"))
-            set_to = spark.sparkContext.getCheckpointDir()
-    return set_to.rstrip("/")
-
-
-class Scratch:
-    """Written tables of one run in the shared folder. They cut lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/fathom/{label}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small(df: DataFrame, row_bytes: int) -> bool:
-    """Whether a written table is within the broadcast bounds; reads at most the bound plus one rows."""
-    bound = min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
-    return df.limit(bound + 1).count() <= bound
-
-
-def checked(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A written table, marked for broadcast if its size allows that; else as it is, for a shuffled join that adaptive execution can split."""
-    return F.broadcast(df) if small(df, row_bytes) else df

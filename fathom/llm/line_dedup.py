@@ -68,7 +68,7 @@ def dedup_lines(df: DataFrame, host: str, text: str, scratch: Scratch, ratio: fl
     out = marked.withColumn("n", F.coalesce(F.size("gone"), F.lit(0))).withColumn("rest", F.when(F.col("n") > 0, F.array_join(rest, "\n")).otherwise(t))
     if keep_emptied:
         empty = (F.col("n") > 0) & (_bare(F.regexp_replace("rest", "\n", "")) == "")
-        out = out.withColumn("n", F.when(empty, 0).otherwise(F.col("n"))).withColumn("rest", F.when(empty, t).otherwise(F.col("rest")))
+        out = out.withColumn("emptied", empty).withColumn("n", F.when(F.col("emptied"), 0).otherwise(F.col("n"))).withColumn("rest", F.when(F.col("emptied"), t).otherwise(F.col("rest")))
     cols = [(F.col("rest") if c == at(text) else F.col(c)).alias(n) for c, n in zip(own, names)]
     return out.select(*cols, F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.col("n").alias("n_dropped"))
 
