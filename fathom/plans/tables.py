@@ -24,10 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one run in the shared folder. They cut lineage and outlive lost executors."""
+    """Written tables of one run in the shared folder. They cut lineage and outlive lost executors; results read them, so they stay until sweep()."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/fathom/{label}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -35,13 +38,19 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
+        """Delete tables that nothing reads any more; without names, all of this run's."""
         jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep() -> None:
+    """Delete all tables this process has made; for when its results are written."""
+    while Scratch.made:
+        Scratch.made.pop().drop()
+
+
 def small(df: DataFrame, row_bytes: int) -> bool:
     """Whether a written table is within the broadcast bounds; reads at most the bound plus one rows."""
     bound = min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
