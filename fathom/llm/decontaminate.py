@@ -33,9 +33,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import Scratch, checked, take
+from .common import take
 from .near_dedup import mix
 
 WORD = re.compile(r"\w+")
@@ -252,10 +251,22 @@ def contaminated(df: DataFrame, benchmark: DataFrame, config: Config = Config())
     return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, scratch: Scratch, config: Config = Config()) -> DataFrame:
-    """df without the rows whose doc_id has a match."""
-    found = scratch.save(contaminated(df, benchmark, config).select(F.col("doc_id").alias("leak")).where("leak IS NOT NULL").distinct(), "leaks")
-    return df.join(checked(found, 16), df["doc_id"] == F.col("leak"), "left_anti")
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, config: Config = Config()) -> DataFrame:
+    """df, which has a column text, without the rows that match; each row is judged where it is, whatever its doc_id."""
+    at = df.columns.index("text")
+    for block in blocks(benchmark, config):
+        shared = df.sparkSession.sparkContext.broadcast(build(block, config))
+
+        def keep(batches, shared=shared):
+            for batch in batches:
+                for i in range(0, batch.num_rows, 1000):
+                    part = batch.slice(i, 1000)
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[k for k, *_ in matches(part.column(at).to_pylist(), shared.value)]] = False
+                    yield part.filter(pa.array(clean))
+
+        df = df.mapInArrow(keep, df.schema)
+    return df
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

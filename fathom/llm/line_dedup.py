@@ -56,7 +56,7 @@ def dedup_lines(df: DataFrame, host: str, text: str, scratch: Scratch, ratio: fl
     flat = df.toDF(*own)
     pages = flat.select(h.alias("host"), t.alias("text"))
     common = boilerplate(pages, ratio, min_pages, scratch)
-    salt = digest(*[F.col(c) for c in own])
+    salt = digest(*[F.col(c) for c, kind in flat.dtypes if "map<" not in kind and kind != "variant"])
     lines = flat.select(h.alias("h"), *[c.alias(n) for c, n in zip(salt, ("p", "q"))], F.posexplode(F.transform(lines_of(t), _bare)).alias("i", "line")).where("line <> ''")
     a, b = digest(F.col("line"))
     lines = lines.select("h", "p", "q", "i", a.alias("la"), b.alias("lb"))

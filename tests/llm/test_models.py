@@ -163,7 +163,15 @@ def test_no_benchmark_and_no_documents(spark):
     some = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     docs = frame(spark, corpus(5))
     assert decontaminate.contaminated(docs, none).count() == 0 and decontaminate.contaminated(docs.limit(0), some).count() == 0
-    assert decontaminate.drop_contaminated(docs, some, Scratch(spark, "t")).count() == docs.count()
+    assert decontaminate.drop_contaminated(docs, some).count() == docs.count()
+
+
+def test_dropping_takes_whole_rows_out(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(None, f"so {item} then", None, None, 1), (None, "clean", None, None, 2), (2, item.replace("five", "5"), None, None, 3), (2, None, None, None, 4)]
+    items = spark.createDataFrame([(1, item), (2, "other words that nobody has ever used here")], "item_id long, text string")
+    got = decontaminate.drop_contaminated(clashing(frame(spark, rows)), items, decontaminate.Config(block_words=5)).collect()
+    assert {r.n_chars for r in got} == {2, 4}
 
 
 def test_distance_of_a_stretch():
