@@ -9,10 +9,12 @@ order, so all coordinates of a shingle are neighbours in one table.
 Plan: equal sets become one class. Classes that share a band meet their bucket's
 smallest member; after the components of those links, members outside a bucket's
 largest component are compared with the others of the bucket, so every pair of a
-bucket that isn't joined already is looked at and no group emits all its pairs.
-Every link is confirmed on full sets. Four rows in 32 bands miss a pair of
-similarity 0.75 with a probability of 5e-6; the comparison of the 1-bit sketches
-leaves out pairs only beyond six standard deviations.
+bucket that isn't joined already is looked at. Those comparisons are of sketches,
+one bit of each of 2048 circulant coordinates, inside the join and in the first
+band a pair shares; only pairs whose sketches are close come out of it. Every
+link is confirmed on full sets. Four rows in 32 bands miss a pair of similarity
+0.75 with a probability of 5e-6, the sketches one with 3e-7 (five standard
+deviations).
 
 Defined cases: null or blank text has an empty set, links with nothing and is a
 component of its own; fewer than five words make one shingle; rows with one
@@ -37,8 +39,11 @@ from .common import Scratch, checked, take
 
 WORDS, BANDS, ROWS, UNIVERSE = 5, 32, 4, 1 << 20
 K = BANDS * ROWS
-#: Similarity in hundredths, and the most of K sketch bits in which such a pair may differ: K/8 and six standard deviations.
-PERCENT, SKETCH = 75, int(K / 8 + 6 * (K * 7 / 64) ** 0.5)
+#: Similarity in hundredths; bits of a sketch, and the most of them in which such a pair may differ: an eighth and five standard deviations.
+PERCENT, BITS = 75, 2048
+APART = int(BITS / 8 + 5 * (BITS * 7 / 64) ** 0.5)
+LONGS = [f"s{i}" for i in range(BITS // 64)]
+SHARED = [f"b{i}" for i in range(BANDS)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,12 +53,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(1)
-def permutations() -> tuple[np.ndarray, np.ndarray]:
-    """The scattering permutation, and the second one as a window of K shifts at each place."""
+@lru_cache(2)
+def permutations(shifts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The scattering permutation, and the second one as a window of so many shifts at each place."""
     place = np.arange(UNIVERSE, dtype=np.uint64)
     first, second = (np.argsort(mix(place + np.uint64(s << 32)), kind="stable").astype(np.uint32) for s in (1, 2))
-    return first, np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: K - 1]]), K)
+    return first, np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: shifts - 1]]), shifts)
 
 
 #: Odd multipliers of the words of a shingle; one more for its length.
@@ -73,11 +78,11 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    first, second = permutations()
-    at, low = first[(found >> np.uint64(44)).astype(np.int64)], None
-    for i in range(0, len(at), 4096):
-        part = second[at[i : i + 4096]].min(axis=0)
+def signature(found: np.ndarray, shifts: int = K) -> np.ndarray:
+    first, second = permutations(shifts)
+    at, low, rows = first[(found >> np.uint64(44)).astype(np.int64)], None, max(1, (1 << 19) // shifts)
+    for i in range(0, len(at), rows):
+        part = second[at[i : i + rows]].min(axis=0)
         low = part if low is None else np.minimum(low, part)
     return low
 
@@ -91,7 +96,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key
 
 
-SIGNED = "doc_id long, n int, d1 long, d2 long, s1 long, s2 long, bands array<long>"
+SIGNED = "doc_id long, n int, d1 long, d2 long, bands array<long>"
 
 
 def _sign(batches):
@@ -105,12 +110,11 @@ def _sign(batches):
             for i in np.flatnonzero(n):
                 sig[i] = signature(sets[i])
                 ids[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[i].tobytes()), np.int64)
-            bits = np.packbits((sig & 1).astype(bool), axis=1).view(np.int64)
             keys = band_keys(sig).view(np.int64)
             ends = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array(n), *[pa.array(x.copy()) for x in (ids[:, 0], ids[:, 1], bits[:, 0], bits[:, 1])], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
-                names=["doc_id", "n", "d1", "d2", "s1", "s2", "bands"],
+                [part.column(0).cast(pa.int64()), pa.array(n), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
+                names=["doc_id", "n", "d1", "d2", "bands"],
             )
 
 
@@ -124,6 +128,21 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "items"])
 
 
+def _sketches(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            sets = [x for x in ((i, shingles(t)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())) if len(x[1])]
+            low = np.stack([signature(x, BITS) for _, x in sets]) if sets else np.zeros((0, BITS), np.uint32)
+            bits = np.packbits((low & 1).astype(bool), axis=1).view(np.int64)
+            keys = band_keys(low[:, :K]).astype(np.uint32).view(np.int32)
+            cols = [pa.array([i for i, _ in sets], pa.int64()), pa.array([len(x) for _, x in sets], pa.int32()), *[pa.array(c.copy()) for c in (*bits.T, *keys.T)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "n", *LONGS, *SHARED])
+
+
+SKETCHED = ", ".join(["node long, n int", *[f"{c} long" for c in LONGS], *[f"{c} int" for c in SHARED]])
+
+
 def _near(a: Column, b: Column) -> Column:
     """Whether sets of these sizes can be similar enough."""
     return 100 * F.least(a, b).cast("long") >= PERCENT * F.greatest(a, b).cast("long")
@@ -148,19 +167,19 @@ def near_dedup(df: DataFrame, scratch: Scratch) -> DataFrame:
     docs = take(df, "doc_id", "text")
     signed = scratch.save(docs.mapInArrow(_sign, SIGNED), "signed")
     full = signed.where("n > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"))
+    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
     classes = scratch.save(classes, "classes")
     first = full.join(classes.select("d1", "d2", F.col("node").alias("doc_id")), ["d1", "d2", "doc_id"])
-    banded = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), "n")
+    banded = first.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("node"), "n")
     buckets = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("most")).where("least.node < most")
     buckets = scratch.save(buckets.select("key", F.col("least.node").alias("a"), F.col("least.n").alias("m")), "buckets")
-    members = scratch.save(banded.join(buckets, "key").select("key", "node", "n", "a", "m"), "members")
+    members = scratch.save(banded.join(buckets, "key").select("key", "band", "node", "n", "a", "m"), "members")
     scratch.drop("buckets")
     pairs = members.where((F.col("node") != F.col("a")) & _near(F.col("n"), F.col("m"))).select("a", F.col("node").alias("b")).distinct()
     pairs = scratch.save(pairs, "pairs")
     links = verify(docs, pairs, scratch, "star")
     roots = components(links, scratch, "one")
-    others = scratch.save(_unmet(members, classes, roots, pairs, scratch), "unmet")
+    others = scratch.save(_unmet(docs, members, roots, pairs, scratch), "unmet")
     if not others.isEmpty():
         more = verify(docs, others, scratch, "rest")
         roots = components(scratch.save(links.union(more), "all"), scratch, "two")
@@ -172,20 +191,23 @@ def near_dedup(df: DataFrame, scratch: Scratch) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _unmet(members: DataFrame, classes: DataFrame, roots: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of a bucket that aren't joined yet and weren't compared: those outside its largest component against all of the bucket."""
-    rooted = members.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+def _unmet(docs: DataFrame, members: DataFrame, roots: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of a bucket that aren't joined yet, weren't compared and have close sketches: those outside its largest component against all of the bucket."""
+    rooted = members.select("key", "band", "node", "n").join(roots, "node", "left").select("key", "band", "node", "n", F.coalesce("root", "node").alias("root"))
     rooted = scratch.save(rooted, "rooted")
     sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     main = scratch.save(main.select("key", F.col("main.root").alias("main")), "main")
-    sketch = classes.groupBy("node").agg(F.min(F.struct("s1", "s2")).alias("s"), F.count(F.lit(1)).alias("texts")).select("node", "s.s1", "s.s2", "texts")
-    live = rooted.join(main, "key").join(sketch, "node").select("key", "node", "n", "root", (F.col("root") == F.col("main")).alias("in_main"), "s1", "s2", "texts")
-    live = scratch.save(live, "live")
-    one, two = live.where("NOT in_main").alias("l"), live.alias("r")
-    apart = F.bit_count(F.col("l.s1").bitwiseXOR(F.col("r.s1"))) + F.bit_count(F.col("l.s2").bitwiseXOR(F.col("r.s2")))
-    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & (F.col("r.in_main") | (F.col("l.node") < F.col("r.node"))) & _near(F.col("l.n"), F.col("r.n"))
-    met = met & ((apart <= SKETCH) | (F.col("l.texts") + F.col("r.texts") > 2))
+    live = scratch.save(rooted.join(main, "key").select("key", "band", "node", "n", "root", (F.col("root") == F.col("main")).alias("in_main")), "live")
+    nodes = scratch.save(live.select(F.col("node").alias("doc_id")).distinct(), "livenodes")
+    sketches = docs.join(checked(nodes, 24), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sketches, SKETCHED)
+    sketches = scratch.save(sketches.distinct(), "sketches")
+    one, two = (x.join(sketches, ["node", "n"]).alias(k) for k, x in (("l", live.where("NOT in_main")), ("r", live)))
+    col = F.col
+    apart = sum((F.bit_count(col(f"l.{c}").bitwiseXOR(col(f"r.{c}"))) for c in LONGS[1:]), F.bit_count(col("l.s0").bitwiseXOR(col("r.s0"))))
+    met = (col("l.key") == col("r.key")) & (col("l.root") != col("r.root")) & (col("r.in_main") | (col("l.node") < col("r.node"))) & _near(col("l.n"), col("r.n")) & (apart <= APART)
+    for i, c in enumerate(SHARED):  # an earlier band has them together already
+        met = met & ((col("l.band") <= i) | (col(f"l.{c}") != col(f"r.{c}")))
     found = one.join(two, met).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     return found.join(pairs, ["a", "b"], "left_anti")
 
