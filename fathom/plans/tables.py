@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a table may be broadcast; larger ones are joined by shuffle.
@@ -60,3 +60,9 @@ def small(df: DataFrame, row_bytes: int) -> bool:
 def checked(df: DataFrame, row_bytes: int) -> DataFrame:
     """A written table, marked for broadcast if its size allows that; else as it is, for a shuffled join that adaptive execution can split."""
     return F.broadcast(df) if small(df, row_bytes) else df
+
+
+def weighed(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """Like checked, for rows of unequal size: row_bytes, summed over the table, is what is held against the bounds."""
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
