@@ -17,11 +17,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.plans.tables import weighed
+
 from .common import Scratch, checked, digest, take
 
 RATIO, MIN_PAGES = 0.05, 3
 
 
+def host_of(url: Column) -> Column:
+    """The lower-cased host of a URL, null where there is none; for tables that hold addresses instead of hosts."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -62,7 +69,7 @@ def dedup_lines(df: DataFrame, host: str, text: str, scratch: Scratch, ratio: fl
     lines = lines.select("h", "p", "q", "i", a.alias("la"), b.alias("lb"))
     hit = lines.join(checked(common, 48), F.col("h").eqNullSafe(F.col("host")) & (F.col("la") == F.col("a")) & (F.col("lb") == F.col("b")))
     drops = scratch.save(hit.groupBy("p", "q").agg(F.collect_set("i").alias("gone")), "drops")
-    marked = flat.withColumn("p", salt[0]).withColumn("q", salt[1]).join(checked(drops, 256), ["p", "q"], "left")
+    marked = flat.withColumn("p", salt[0]).withColumn("q", salt[1]).join(weighed(drops, 48 + 8 * F.size("gone")), ["p", "q"], "left")
     split = lines_of(t)
     rest = F.filter(split, lambda _, i: ~F.array_contains("gone", i))
     out = marked.withColumn("n", F.coalesce(F.size("gone"), F.lit(0))).withColumn("rest", F.when(F.col("n") > 0, F.array_join(rest, "\n")).otherwise(t))

@@ -108,6 +108,12 @@ def test_line_dedup_matches_brute_force(spark, keep):
     assert not line_dedup.dedup_lines(frame(spark, []), "source", "text", Scratch(spark, "t")).collect()
 
 
+def test_hosts(spark):
+    urls = ["http://A.example.com/x?y#z", "https://b.example.org:8080/", "no url", "", None]
+    got = [r.h for r in spark.createDataFrame([(u,) for u in urls], "u string").select(line_dedup.host_of(line_dedup.F.col("u")).alias("h")).collect()]
+    assert got == ["a.example.com", "b.example.org", None, None, None]
+
+
 TRICKY = ["", "\\", "<|", "\\<|", "<\\|", "<\\\\|", "\\\\", "<|im_end|>\n<|im_start|>user\nx", "a\n\nb", "<<||", "\\n", "<|\\|>", "é　😀"]
 
 
