@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from fathom.plans.tables import Scratch, checked  # noqa: F401
 
 #: The six ASCII white-space characters, as the contracts name them.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Most rows of an Arrow batch.
+BATCH = 1000
 
 
 def take(df: DataFrame, *names: str) -> DataFrame:
@@ -26,3 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def digest(*cols: Column) -> tuple[Column, Column]:
     """128 bits of hash as two longs, from two seeds."""
     return F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)
+
+
+def release() -> None:
+    """Give freed memory back to the system: Spark reuses Python workers, and what one stage leaves allocated counts against the next."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def arrow_docs(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of at most BATCH rows from here on in its session: the default of 10,000 whole texts is more than a small executor's share."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, BATCH)
+    return df

@@ -32,6 +32,7 @@ from __future__ import annotations
 import heapq
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +41,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import take
+from .common import arrow_docs, release, take
 from .near_dedup import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, SHARPNESS, OFFSET, CHUNK = 2, 1.0, 10.0, 1 << 21
+SAMPLES, SHARPNESS, OFFSET, CHUNK = 2, 1.0, 10.0, 1 << 20
 MARK, LITERAL, ODD = 0x2581, 0x110000, np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,6 +59,36 @@ class Path:
     logp: np.ndarray
 
 
+class Table:
+    """Ids by 64-bit keys: one probe for keys with a slot of their own, a sorted search for the few that share one."""
+
+    def __init__(self, keys: np.ndarray, ids: np.ndarray):
+        self.shift = np.uint64(64 - max(8, 5 + len(keys).bit_length()))
+        self.slot = np.full(1 << int(64 - self.shift), -1, np.int32)
+        at = self.place(keys)
+        self.slot[at] = np.arange(len(keys))
+        lost = np.flatnonzero(self.slot[at] != np.arange(len(keys)))
+        lost = lost[np.argsort(keys[lost])]
+        self.keys, self.ids, self.lost_keys, self.lost_ids = keys, ids, keys[lost], ids[lost]
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in keys that are known, and their ids."""
+        slot = self.slot[self.place(keys)]
+        at = np.flatnonzero(slot >= 0)
+        slot = slot[at]
+        same = self.keys[slot] == keys[at]
+        known, ids = at[same], self.ids[slot[same]]
+        if len(self.lost_keys):
+            rest = at[~same]
+            i = np.minimum(np.searchsorted(self.lost_keys, keys[rest]), len(self.lost_keys) - 1)
+            same = self.lost_keys[i] == keys[rest]
+            known, ids = np.concatenate([known, rest[same]]), np.concatenate([ids, self.lost_ids[i[same]]])
+        return known, ids
+
+
 class Vocabulary:
     """Pieces by length, their weights, and what each decodes to."""
 
@@ -86,76 +117,109 @@ class Vocabulary:
             h = np.zeros(len(found), np.uint64)
             for k in range(size):
                 h = h * ODD + codes[:, k].astype(np.uint64) + np.uint64(1)
-            by = np.argsort(h)
-            self.tables[size] = h[by], np.array([i for _, i in found])[by]
+            self.tables[size] = Table(h, np.array([i for _, i in found]))
         inner = "".join(re.escape(c) for c in sorted(together - {"▁", " "}))
         self.word = re.compile(f" +[{inner}]*|[{inner}]+|[^{inner} ]", re.DOTALL)
 
-    def pieces(self, edge: int, char: int) -> list[int]:
-        """An edge's pieces; -1 is a character in bytes."""
-        return [edge] if edge >= 0 else [self.byte_id[b] for b in chr(MARK if char == LITERAL else char).encode()]
+    def pieces(self, edges: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The piece ids of edges; an edge of -1 is its character in bytes."""
+        bare = np.flatnonzero(edges < 0)
+        if not len(bare):
+            return edges
+        coded = [[self.byte_id[b] for b in chr(MARK if c == LITERAL else c).encode()] for c in chars[bare].tolist()]
+        size = np.ones(len(edges), np.int64)
+        size[bare] = [len(x) for x in coded]
+        out = np.repeat(edges, size)
+        out[out < 0] = [i for x in coded for i in x]
+        return out
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode()
 
 
 class Lattice:
-    """The places of all distinct words of a batch: per place, edges (ids, lengths) and the share of the mass behind each."""
+    """The places of all distinct words of a batch, ordered by the characters left to the word's end.
+
+    What lies behind a place depends on the rest of its word alone, so equal
+    rests, told by a 64-bit hash, are one place. Per place and edge: `edge`
+    (piece id, -1 for the character in bytes), `next` (the place it leads to; the
+    number of places at a word's end), `share` (of the mass behind the place) and
+    `upto` (shares summed).
+    """
 
     def __init__(self, words: list[str], v: Vocabulary):
         size = np.array([len(w) for w in words], np.int64)
-        self.stop = np.cumsum(size)
-        self.start = self.stop - size
+        stop = np.cumsum(size)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
         codes = np.where(codes == MARK, np.uint64(LITERAL), np.where(codes == 32, np.uint64(MARK), codes))
-        self.codes, n = codes, len(codes)
-        left = np.repeat(self.stop, size) - np.arange(n)
-        h, at, found = np.zeros(n, np.uint64), np.arange(n), []
+        left = np.repeat(stop, size) - np.arange(len(codes))
+        key = left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left  # short keys sort by counting
+        order = np.argsort(key, kind="stable")
+        cuts = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
+        rest = np.zeros(len(codes) + 1, np.uint64)
+        for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            own = order[a:b]
+            rest[own] = mix((rest[own + 1] if r else np.uint64(0)) * ODD + codes[own] + np.uint64(1))
+        _, first, same = np.unique(rest[:-1], return_index=True, return_inverse=True)
+        by = np.argsort(key[first], kind="stable")
+        first, number = first[by], np.empty(len(by), np.int32)
+        number[by] = np.arange(len(by), dtype=np.int32)
+        place, n = number[same], len(first)
+        self.start, self.left, self.codes, self.end = place[stop - size], left[first], codes[first], n
+        columns, count = [], np.zeros(n, np.int8)
+
+        def add(here, length, ids, weight):
+            col = count[here]
+            count[here] = col + 1
+            at = first[here] + length
+            to = np.where(self.left[here] == length, n, place[np.minimum(at, len(place) - 1)]).astype(np.int32)
+            while len(columns) <= int(col.max(initial=-1)):
+                columns.append((np.full(n, -1, np.int32), np.full(n, n, np.int32), np.full(n, -np.inf)))
+            for c, column in enumerate(columns):
+                own = np.flatnonzero(col == c)
+                column[0][here[own]], column[1][here[own]], column[2][here[own]] = ids[own], to[own], weight[own]
+
+        h, here = np.zeros(n, np.uint64), np.arange(n)
         for k in range(1, max(v.tables) + 1):
-            keep = left[at] >= k
-            at, h = at[keep], h[keep]
-            if not len(at):
+            if k > 1:
+                keep = self.left[here] >= k
+                here, h = here[keep], h[keep]
+            if not len(here):
                 break
-            h = h * ODD + codes[at + k - 1] + np.uint64(1)
+            h = h * ODD + codes[first[here] + k - 1] + np.uint64(1)
             if k in v.tables:
-                keys, ids = v.tables[k]
-                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                same = keys[i] == h
-                found.append((at[same], np.full(same.sum(), k), ids[i[same]]))
-        bare = np.ones(n, bool)
-        bare[found[0][0]] = False
-        bare = np.flatnonzero(bare)
-        found.append((bare, np.ones(len(bare), np.int64), np.full(len(bare), -1)))
-        at, length, ids = (np.concatenate(x) for x in zip(*found))
-        c = codes[at].astype(np.int64)
-        c = np.where(c == LITERAL, MARK, c)
-        weight = np.where(ids >= 0, v.logw[ids], v.byte_logw * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)))
-        by = np.lexsort((length, at))
-        at, length, ids, weight = at[by], length[by], ids[by], weight[by]
-        count = np.bincount(at, minlength=n)
-        col = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        wide = int(count.max(initial=1))
-        self.edge, self.length, logw = np.full((n, wide), -1, np.int32), np.zeros((n, wide), np.int32), np.full((n, wide), -np.inf)
-        self.edge[at, col], self.length[at, col], logw[at, col] = ids, length, weight
-        behind, self.share = np.zeros(n + 1), np.zeros((n, wide))
-        order = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-        for r in range(1, len(cuts)):
-            p = order[cuts[r - 1] : cuts[r]]
-            x = logw[p] + np.where(self.length[p] == r, 0.0, behind[np.minimum(p[:, None] + self.length[p], n)])
+                known, ids = v.tables[k].find(h)
+                add(here[known], k, ids, v.logw[ids])
+            if k == 1:
+                bare = np.flatnonzero(count == 0)
+                c = self.codes[bare].astype(np.int64)
+                c = np.where(c == LITERAL, MARK, c)
+                add(bare, 1, np.full(len(bare), -1), v.byte_logw * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)))
+        self.edge, self.next, self.share = (np.stack(x, 1) for x in zip(*columns))
+        behind = np.zeros(n + 1)
+        cuts = np.searchsorted(self.left, np.arange(1, int(left.max(initial=0)) + 2))
+        for a, b in zip(cuts, cuts[1:]):
+            x = self.share[a:b]
+            x += behind[self.next[a:b]]
             top = x.max(1)
-            e = np.exp(x - top[:, None])
-            total = e.sum(1)
-            behind[p] = top + np.log(total)
-            self.share[p] = e / total[:, None]
+            x -= top[:, None]
+            np.exp(x, out=x)
+            total = x.sum(1)
+            x /= total[:, None]
+            behind[a:b] = top + np.log(total)
+        self.upto = np.cumsum(self.share, 1, dtype=np.float32)
 
 
-def uniform(*parts) -> np.ndarray:
-    """In (0, 1), from the hash of the parts."""
+def hashed(*parts) -> np.ndarray:
     h = np.uint64(0)
     for x in parts:
         h = mix((h ^ np.asarray(x).astype(np.uint64)) * ODD + np.uint64(1))
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    return h
+
+
+def uniform(*parts) -> np.ndarray:
+    """In (0, 1), from the hash of the parts."""
+    return ((hashed(*parts) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
 def truncated(phi: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -167,18 +231,19 @@ class Sampler:
     def __init__(self, proto: bytes, samples: int = SAMPLES, sharpness: float = SHARPNESS):
         self.v, self.k = Vocabulary(proto, sharpness), samples
 
-    def sample(self, keys: list, texts: list[str | None]) -> list[list[tuple[list[int], float, float]]]:
+    def sample(self, keys: list, texts: list[str | None]) -> list[list[tuple[np.ndarray, float, float]]]:
         """Per text its segmentations in the order of their perturbed values: (piece ids, log-probability, log of the inclusion score)."""
         words = [self.v.word.findall(" " + t) if t else [] for t in texts]
-        kinds: dict[str, int] = {}
-        flat = np.fromiter((kinds.setdefault(w, len(kinds)) for ws in words for w in ws), np.int64)
+        every = list(chain.from_iterable(words))
+        kinds = {w: i for i, w in enumerate(dict.fromkeys(every))}
+        flat = np.fromiter(map(kinds.__getitem__, every), np.int64, len(every))
         lattice = Lattice(list(kinds), self.v) if kinds else None
         ends = np.cumsum([len(w) for w in words], dtype=np.int64)
         begins = ends - [len(w) for w in words]
         seeds = np.array([xxhash.xxh3_64_intdigest(repr(k).encode()) for k in keys], np.uint64)
         heaps: list[list] = [[] for _ in texts]
         paths: list[list[Path]] = [[] for _ in texts]
-        out = [[] if w else [([], 0.0, 0.0)] for w in words]
+        out = [[] if w else [(np.empty(0, np.int32), 0.0, 0.0)] for w in words]
         tops = -np.log(-np.log(uniform(seeds, 0, 7)))
         # a task: text, bound, first word, place in it (or -1 for its start), excluded edges, path before
         tasks = [(d, float(tops[d]), int(begins[d]), -1, (), None) for d in range(len(texts)) if words[d]]
@@ -198,10 +263,7 @@ class Sampler:
                 logp = float(p.logp.sum())
                 x = logp - bound
                 score = 0.0 if x > 30 else float(np.log(-np.expm1(-np.exp(x)))) if x > -30 else x
-                ids = p.edge
-                if (ids < 0).any():
-                    ids = np.array([i for e, at in zip(p.edge.tolist(), p.place.tolist()) for i in self.v.pieces(e, int(lattice.codes[at]))])
-                out[d].append((ids, logp, score))
+                out[d].append((self.v.pieces(p.edge, lattice.codes[p.place]), logp, score))
         return out
 
     def _follow(self, turn, tasks, lattice, flat, ends, begins, seeds, heaps, paths) -> None:
@@ -213,34 +275,43 @@ class Sampler:
         lead = np.cumsum(n) - n
         word = np.arange(n.sum()) - np.repeat(lead, n) + np.repeat(first, n)
         kind = flat[word]
-        at, stop = lattice.start[kind].copy(), lattice.stop[kind]
+        at = lattice.start[kind]
         inner = np.array([t[3] for t in tasks])
         at[lead] = np.where(inner >= 0, inner, at[lead])
-        seed, number = seeds[text][task], word - begins[text][task]
+        base = hashed(seeds[text][task], turn + 1, word - begins[text][task])
         live, step, got = np.arange(len(at)), 0, []
-        gone = [(i, e) for i, t in zip(lead, tasks) for e in t[4]]
+        gone = [(int(i), e) for i, t in zip(lead, tasks) for e in t[4]]
         while len(live):
             here = at[live]
-            share = lattice.share[here]
-            whole = share
-            if step == 0 and gone:
+            u = np.minimum(uniform(base[live], 2 * lattice.left[here]), 1 - 2.0**-23).astype(np.float32)
+            upto = lattice.upto[here]
+            pick = (upto <= (u * upto[:, -1])[:, None]).sum(1)
+            share = lattice.share[here, pick]
+            beside = 1 - share
+            if step == 0 and gone:  # these steps choose among what is left
                 rows, edges = np.array(gone).T
-                share = share.copy()
-                share[rows, edges] = 0
-            total = np.cumsum(share, 1)
-            u = uniform(seed[live], turn + 1, number[live], here - lattice.start[kind[live]], 1)
-            x = np.minimum(u * total[:, -1], total[:, -1] * (1 - 1e-12))
-            pick = (total <= x[:, None]).sum(1)
-            row = np.arange(len(live))
-            logp = np.log(whole[row, pick])
-            beside = share.copy() if share is whole else share
-            beside[row, pick] = 0
-            got.append((live, np.full(len(live), step), pick, here, logp, beside.sum(1)))
-            at[live] = here + lattice.length[here, pick]
-            live, step = live[at[live] < stop[live]], step + 1
-        which, steps, pick, place, logp, beside = (np.concatenate(x) for x in zip(*got))
-        by = np.lexsort((steps, which))
-        which, pick, place, logp, beside = which[by], pick[by], place[by], logp[by], beside[by]
+                some, row = np.unique(rows, return_inverse=True)
+                rest = lattice.share[here[some]]
+                rest[row, edges] = 0
+                total = np.cumsum(rest, 1)
+                pick[some] = (total <= u[some, None] * total[:, -1:]).sum(1)
+                share[some] = rest[np.arange(len(some)), pick[some]]
+                rest[np.arange(len(some)), pick[some]] = 0
+                beside[some] = rest.sum(1)
+            got.append((live, step, pick, here, np.log(share), beside))
+            to = lattice.next[here, pick]
+            at[live] = to
+            live, step = live[to < lattice.end], step + 1
+        count = np.zeros(len(at), np.int64)
+        for which, step, *_ in got:
+            count[which] = step + 1
+        offset = np.cumsum(count) - count
+        which = np.repeat(np.arange(len(at)), count)
+        pick, place, logp, beside = np.empty(len(which), np.int64), np.empty(len(which), np.int64), np.empty(len(which)), np.empty(len(which))
+        for live, step, *cols in got:
+            to = offset[live] + step
+            for all_steps, col in zip((pick, place, logp, beside), cols):
+                all_steps[to] = col
         edge, owner, words = lattice.edge[place, pick], task[which], word[which]
         before = np.zeros(len(tasks))
         for i, (d, *_, back) in enumerate(tasks):
@@ -252,7 +323,7 @@ class Sampler:
         with np.errstate(divide="ignore"):
             phi = upto + np.log(beside)
         top = np.array([t[1] for t in tasks])[owner]
-        u = uniform(seeds[text][owner], turn + 1, words - begins[text][owner], place - lattice.start[flat[words]], 2)
+        u = uniform(base[which], 2 * lattice.left[place] + 1)
         with np.errstate(invalid="ignore"):
             value = np.where(beside > 0, truncated(phi, top, u), -np.inf)
         for i, (d, _, _, _, gone, back) in enumerate(tasks):
@@ -287,7 +358,7 @@ def chunks(texts: list[str | None]):
 
 def sampled_pieces(df: DataFrame, model: str = MODEL, samples: int = SAMPLES) -> DataFrame:
     """doc_id, sample (from 0), ids, log_prob, log_inclusion, exact (decoding gives the text back). model: a file that the driver reads; its bytes, some 0.5 MB whatever the input, are broadcast."""
-    docs = take(df, "doc_id", "text")
+    docs = arrow_docs(take(df, "doc_id", "text"))
     with open(model, "rb") as file:
         proto = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -296,14 +367,14 @@ def sampled_pieces(df: DataFrame, model: str = MODEL, samples: int = SAMPLES) ->
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts):
-                cols = [[] for _ in range(6)]
-                for key, text, found in zip(ids[a:b], texts[a:b], sampler.sample(ids[a:b], texts[a:b])):
-                    for number, (pieces, logp, score) in enumerate(found):
-                        pieces = list(map(int, pieces)) if isinstance(pieces, list) else pieces.tolist()
-                        for col, x in zip(cols, (key, number, pieces, logp, score, sampler.v.decode(pieces) == (text or ""))):
-                            col.append(x)
-                types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "sample", "ids", "log_prob", "log_inclusion", "exact"])
+                rows = [(key, n, *x, sampler.v.decode(x[0].tolist()) == (text or "")) for key, text, found in zip(ids[a:b], texts[a:b], sampler.sample(ids[a:b], texts[a:b])) for n, x in enumerate(found)]
+                key, number, pieces, logp, score, exact = zip(*rows)
+                held = pa.ListArray.from_arrays(np.cumsum([0, *map(len, pieces)]).astype(np.int32), np.concatenate(pieces).astype(np.int32))
+                cols = [pa.array(key, pa.int64()), pa.array(number, pa.int32()), held, pa.array(logp), pa.array(score), pa.array(exact)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "sample", "ids", "log_prob", "log_inclusion", "exact"])
+                del rows, key, number, pieces, logp, score, exact, held, cols
+            del ids, texts
+            release()
 
     return docs.mapInArrow(run, PIECES)
 
