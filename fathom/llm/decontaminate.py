@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import take
+from .common import arrow_docs, release, take
 from .near_dedup import mix
 
 WORD = re.compile(r"\w+")
@@ -232,7 +232,7 @@ def blocks(benchmark: DataFrame, config: Config) -> Iterator[list[tuple[int, lis
 
 def contaminated(df: DataFrame, benchmark: DataFrame, config: Config = Config()) -> DataFrame:
     """doc_id, item_id, start, stop (characters of the lower-cased text), distance, of each text and item within reach. No shuffle."""
-    docs = take(df, "doc_id", "text")
+    docs = arrow_docs(take(df, "doc_id", "text"))
     out = None
     for block in blocks(benchmark, config):
         shared = docs.sparkSession.sparkContext.broadcast(build(block, config))
@@ -245,6 +245,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, config: Config = Config())
                     rows = [(ids[k], *rest) for k, *rest in matches(part.column(1).to_pylist(), shared.value)]
                     cols = list(zip(*rows)) if rows else [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "start", "stop", "distance"])
+                release()
 
         found = docs.mapInArrow(search, FOUND)
         out = found if out is None else out.unionByName(found)
@@ -265,6 +266,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, config: Config = Conf
                     clean[[k for k, *_ in matches(part.column(at).to_pylist(), shared.value)]] = False
                     yield part.filter(pa.array(clean))
 
+                release()
         df = df.mapInArrow(keep, df.schema)
     return df
 

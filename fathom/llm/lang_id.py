@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import take
+from .common import arrow_docs, release, take
 
 
 @dataclass(frozen=True)
@@ -189,7 +189,7 @@ PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
 
 def predict(df: DataFrame, model: Model) -> DataFrame:
     """One row per row of df (doc_id, text). The model has a fixed size, langs x buckets floats."""
-    docs = take(df, "doc_id", "text")
+    docs = arrow_docs(take(df, "doc_id", "text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -200,6 +200,7 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
                 best, top = model.scores(part.column(1).to_pylist())
                 names = [model.langs[i] if i >= 0 else "und" for i in best]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(names, pa.string()), pa.array(top), pa.array((best < 0) | (top < model.threshold))], names=["doc_id", "lang_pred", "score", "rejected"])
+            release()
 
     return docs.mapInArrow(run, PREDICTED)
 
@@ -216,6 +217,7 @@ def keep_known(df: DataFrame, model: Model) -> DataFrame:
                 best, top = shared.value.scores(part.column(at).to_pylist())
                 yield part.filter(pa.array((best >= 0) & (top >= shared.value.threshold)))
 
+            release()
     return df.mapInArrow(run, df.schema)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from fathom.plans.graph import components
 
-from .common import Scratch, checked, take
+from .common import Scratch, arrow_docs, checked, release, take
 
 WORDS, BANDS, ROWS, UNIVERSE = 5, 32, 4, 1 << 20
 K = BANDS * ROWS
@@ -116,6 +116,7 @@ def _sign(batches):
                 [part.column(0).cast(pa.int64()), pa.array(n), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
                 names=["doc_id", "n", "d1", "d2", "bands"],
             )
+        release()
 
 
 def _sets(batches):
@@ -126,6 +127,7 @@ def _sets(batches):
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.int64), *sets])
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "items"])
+        release()
 
 
 def _sketches(batches):
@@ -138,6 +140,7 @@ def _sketches(batches):
             keys = band_keys(low[:, :K]).astype(np.uint32).view(np.int32)
             cols = [pa.array([i for i, _ in sets], pa.int64()), pa.array([len(x) for _, x in sets], pa.int32()), *[pa.array(c.copy()) for c in (*bits.T, *keys.T)]]
             yield pa.RecordBatch.from_arrays(cols, names=["node", "n", *LONGS, *SHARED])
+        release()
 
 
 SKETCHED = ", ".join(["node long, n int", *[f"{c} long" for c in LONGS], *[f"{c} int" for c in SHARED]])
@@ -164,7 +167,7 @@ def verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, label: str) -> D
 
 def near_dedup(df: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of df (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    docs = take(df, "doc_id", "text")
+    docs = arrow_docs(take(df, "doc_id", "text"))
     signed = scratch.save(docs.mapInArrow(_sign, SIGNED), "signed")
     full = signed.where("n > 0")
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
