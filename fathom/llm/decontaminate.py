@@ -254,7 +254,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, config: Config = Config())
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, config: Config = Config()) -> DataFrame:
     """df, which has a column text, without the rows that match; each row is judged where it is, whatever its doc_id."""
-    at = df.columns.index("text")
+    names = df.columns
+    at, df = names.index("text"), df.toDF(*[f"_{i}" for i in range(len(names))])  # names may differ by case alone
     for block in blocks(benchmark, config):
         shared = df.sparkSession.sparkContext.broadcast(build(block, config))
 
@@ -265,10 +266,10 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, config: Config = Conf
                     clean = np.ones(part.num_rows, bool)
                     clean[[k for k, *_ in matches(part.column(at).to_pylist(), shared.value)]] = False
                     yield part.filter(pa.array(clean))
-
                 release()
-        df = df.mapInArrow(keep, df.schema)
-    return df
+
+        df = arrow_docs(df).mapInArrow(keep, df.schema)
+    return df.toDF(*names)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,9 +206,10 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(df: DataFrame, model: Model) -> DataFrame:
-    """df's rows whose language isn't rejected, in one pass over the texts; df has documents' columns."""
+    """df's rows whose language isn't rejected, in one pass over the texts; df has a column text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index("text")
+    names = df.columns
+    at, df = names.index("text"), df.toDF(*[f"_{i}" for i in range(len(names))])  # names may differ by case alone
 
     def run(batches):
         for batch in batches:
@@ -216,9 +217,9 @@ def keep_known(df: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(i, 1000)
                 best, top = shared.value.scores(part.column(at).to_pylist())
                 yield part.filter(pa.array((best >= 0) & (top >= shared.value.threshold)))
-
             release()
-    return df.mapInArrow(run, df.schema)
+
+    return arrow_docs(df).mapInArrow(run, df.schema).toDF(*names)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

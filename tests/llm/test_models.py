@@ -236,6 +236,7 @@ def test_language_edge_cases(spark):
     got = {r.doc_id: r for r in lang_id.predict(df, model).collect()}
     assert [got[i].lang_pred for i in (0, 1, 200, 201, 202, 204)] == ["en", "de", "und", "und", "und", "en"] and got[203].lang_pred in ("de", "en")
     assert got[200].score == 0 and got[200].rejected and not got[0].rejected
+    assert {r[0] for r in lang_id.keep_known(df, model).collect()} == {d for d, r in got.items() if not r.rejected}
     none = lang_id.train(lang_id.sample(df.limit(0)))
     assert {r.lang_pred for r in lang_id.predict(df, none).collect()} == {"und"} and lang_id.predict(df.limit(0), model).count() == 0
 
