@@ -15,8 +15,14 @@ classes, each with its own places. Windows that by the q-gram lemma can't match
 (an item of n words within d edits keeps n - 1 - 2d of its word pairs) are not
 embedded; this loses no match.
 
+Walks fall apart with length, most under deletions alone. So `build` measures for
+each size class how many windows at the most edits of each kind its repetitions
+find; from the first class on that misses the target recall, items are searched
+for by counting instead: every stretch of an item's length that holds as many of
+its word pairs as the q-gram lemma asks for is a candidate, which loses no match.
+
 The benchmark is read in blocks of bounded size, each compared with all texts,
-so it need not fit anywhere whole. Repetitions follow from the target recall.
+so it need not fit anywhere whole.
 
 Defined cases: a null or wordless text matches nothing; items of fewer than
 `least` words, null or empty ones are not searched for; repeated items and rows
@@ -29,6 +35,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +45,16 @@ from .common import arrow_docs, release, take
 from .near_dedup import mix
 
 WORD = re.compile(r"\w+")
+#: Most pairs of a place and an item that are counted at once, as far as one item's length allows.
+HITS = 1 << 21
+
+
+def spans_of(text: str | None) -> Iterator[re.Match]:
+    return WORD.finditer((text or "").lower())
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
 
 
 @dataclass(frozen=True)
@@ -107,6 +124,43 @@ class Index:
     ids: list[int]
     words: list[np.ndarray]
     classes: list[SizeClass]
+    counted: np.ndarray  # items searched for by counting
+    first: np.ndarray  # per pair, where its counted items start in having; one more for the end
+    having: np.ndarray
+
+
+def places_of(low: int, config: Config) -> np.ndarray:
+    """(repetitions, places): the steps at which the walks of the class of items from low words on are sampled."""
+    rng = np.random.Generator(np.random.PCG64(low))
+    return np.sort([rng.choice(max(config.places, int(1.6 * low)), config.places, replace=False) for _ in range(config.repetitions)])
+
+
+@lru_cache(256)
+def found_share(low: int, config: Config, trials: int = 400) -> float:
+    """Share of windows at the most edits that the class from low words on finds, for its length and kind of edits (0 changed, 1 deleted, 2 inserted, 3 mixed words) with the least."""
+    steps, rng, least = places_of(low, config), np.random.default_rng(low), 1.0
+    for n in sorted({low, low * 5 // 4}):
+        d = config.most(n)
+        for kind in range(4):
+            parts, at, new = [], [], 1
+            for _ in range(trials):
+                item = np.arange(new, new + n)
+                kinds = np.full(n, -1)
+                kinds[rng.choice(n, d, replace=False)] = kind if kind < 3 else rng.integers(0, 3, d)
+                text = np.stack([np.where(kinds == 0, item + n, item), item + n], 1)[np.stack([kinds != 1, kinds == 2], 1)]
+                parts += [item, text, np.arange(new + 2 * n, new + 4 * n)]
+                at.append(len(text))
+                new += 4 * n
+            flat, size = np.concatenate(parts), 3 * n + np.array(at)
+            item = np.cumsum(size) - size
+            start = ((item + n)[:, None] + np.arange(d + 1)).ravel()
+            bits = coin_bits(new, steps)
+            ours = keys_of(walk(flat, item, item + n, steps, bits))
+            theirs = keys_of(walk(flat, start, np.repeat(item + size, d + 1), steps, bits))
+            least = min(least, (theirs.reshape(len(steps), trials, d + 1) == ours[:, :, None]).any(axis=(0, 2)).mean())
+            if least < config.recall:
+                return least
+    return least
 
 
 def build(items: list[tuple[int, list[str]]], config: Config) -> Index:
@@ -115,22 +169,27 @@ def build(items: list[tuple[int, list[str]]], config: Config) -> Index:
     wide = len(vocabulary) + 1
     codes = [w[:-1] * wide + w[1:] for w in words]
     pairs = np.unique(np.concatenate([np.empty(0, np.int64), *codes]))
-    index = Index(config, vocabulary, pairs, np.zeros(len(pairs), np.uint64), ids, words, [])
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    while order:
-        low = len(words[order[0]])
+    none = np.empty(0, np.int64)
+    index = Index(config, vocabulary, pairs, np.zeros(len(pairs), np.uint64), ids, words, [], none, none, none)
+    order = sorted((i for i in range(len(words)) if len(words[i]) >= config.least), key=lambda i: len(words[i]))
+    while order and found_share(low := len(words[order[0]]), config) >= config.recall:
         own = [i for i in order if len(words[i]) <= low * 5 // 4]
         order = order[len(own) :]
         n = np.array([len(words[i]) for i in own])
         held = np.searchsorted(pairs, np.concatenate([codes[i] for i in own]))
         index.owners[held] |= np.uint64(1 << len(index.classes))
         flat, stops = np.concatenate([words[i] for i in own]), np.cumsum(n)
-        rng = np.random.Generator(np.random.PCG64(low))
-        steps = np.sort([rng.choice(max(config.places, int(1.6 * low)), config.places, replace=False) for _ in range(config.repetitions)])
+        steps = places_of(low, config)
         bits = coin_bits(wide, steps)
         keys = keys_of(walk(flat, stops - n, stops, steps, bits))
         by = np.argsort(keys, axis=1, kind="stable")
         index.classes.append(SizeClass(int(n.max()), int((n - 1 - 2 * config.most(n)).min()), steps, bits, np.take_along_axis(keys, by, 1), np.array(own)[by]))
+    index.counted = np.array(sorted([*order, *(i for i in range(len(words)) if len(words[i]) < config.least)]), np.int64)
+    own = [np.unique(np.searchsorted(pairs, codes[i])) for i in index.counted]
+    pair = np.concatenate([none, *own])
+    by = np.argsort(pair, kind="stable")
+    index.having = np.repeat(index.counted, [len(x) for x in own])[by]
+    index.first = np.searchsorted(pair[by], np.arange(len(pairs) + 1))
     return index
 
 
@@ -153,14 +212,51 @@ def within(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(ends[stop]), stop - int(back.argmin()), stop
 
 
+def counted(flat: np.ndarray, offsets: np.ndarray, known: np.ndarray, pair: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Like candidates, of the items searched for by counting. known: places in flat that hold a word pair of an item; pair: which."""
+    if not len(index.counted):
+        return
+    n = np.array([len(w) for w in index.words])
+    d = index.config.most(n)
+    need = n - 1 - 2 * d
+    for item in index.counted[need[index.counted] < 1]:  # nothing to count: a single word, or so many edits that no pair need be left
+        if n[item] == 1 and d[item] == 0:
+            start = np.flatnonzero(flat == index.words[item][0])
+        else:
+            start = np.concatenate([np.arange(a, b, n[item]) for a, b in zip(offsets[:-1], offsets[1:])])
+        yield start, np.full(len(start), item)
+    many = index.first[pair + 1] - index.first[pair]
+    known, pair, many = known[many > 0], pair[many > 0], many[many > 0]
+    total, reach, i = np.cumsum(many), int((n + d)[index.counted].max()), 0
+    while i < len(known):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - many[i] + HITS, side="right")))
+        k = int(np.searchsorted(known, known[j - 1] + reach))
+        m = many[i:k]
+        place = np.repeat(known[i:k], m)
+        item = index.having[np.repeat(index.first[pair[i:k]] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+        by = np.argsort(item, kind="stable")
+        place, item = place[by], item[by]
+        last = np.arange(len(item)) + np.maximum(need[item], 1) - 1
+        full = np.flatnonzero((last < len(item)) & (need[item] > 0))
+        last = last[full]
+        text = np.searchsorted(offsets, place[full], side="right") - 1
+        full = full[(item[last] == item[full]) & (place[last] - place[full] <= (n + d)[item[full]] - 2) & (place[last] < offsets[text + 1])]
+        # up to 3 d words of the stretch lie before its first pair
+        text = np.searchsorted(offsets, place[full], side="right") - 1
+        yield np.maximum(place[full] - 3 * d[item[full]], offsets[text]), item[full]
+        i = j
+
+
 def candidates(flat: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Starts of windows in flat, and the places of the items they may match. offsets: of the texts in flat."""
     config, wide = index.config, len(index.vocabulary) + 1
-    known = np.flatnonzero((flat[:-1] > 0) & (flat[1:] > 0))
+    known = np.flatnonzero((flat[:-1] > 0) & (flat[1:] > 0)) if len(index.pairs) else np.empty(0, np.int64)
     code = flat[known] * wide + flat[known + 1]
     at = np.minimum(np.searchsorted(index.pairs, code), len(index.pairs) - 1)
     same = index.pairs[at] == code
-    known, owners = known[same], index.owners[at[same]]
+    known, at = known[same], at[same]
+    owners = index.owners[at]
+    yield from counted(flat, offsets, known, at, index)
     # a pair across two texts only lets more windows through
     for bit, c in enumerate(index.classes):
         hit = np.zeros(len(flat) + 1, np.int64)
@@ -184,31 +280,36 @@ def candidates(flat: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[
 def matches(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, first character, last one's end, distance) of the best stretch of each text and item within reach."""
     vocabulary = index.vocabulary
-    words = [WORD.findall((t or "").lower()) for t in texts]
+    words = [words_of(t) for t in texts]
     offsets = np.cumsum([0, *map(len, words)])
     flat = np.fromiter((vocabulary.get(w, 0) for ws in words for w in ws), np.int64, offsets[-1])
-    if len(flat) < 2 or not index.ids:
+    if not len(flat) or not index.ids:
         return
     found = [np.stack(x, 1) for x in candidates(flat, offsets, index)]
     if not found:
         return
     pairs = np.unique(np.concatenate(found), axis=0)
-    text = np.searchsorted(offsets, pairs[:, 0], side="right") - 1
+    if not len(pairs):
+        return
+    start, item = pairs.T
+    text = np.searchsorted(offsets, start, side="right") - 1
+    by = np.lexsort((start, item, text))
+    start, item, text = start[by], item[by], text[by]
+    n = np.array([len(w) for w in index.words])[item]
+    d = index.config.most(n)
+    low, high = np.maximum(offsets[text], start - d), np.minimum(offsets[text + 1], start + np.maximum(2 * n + 2 * d, n + 4 * d))
+    # stretches that overlap are looked at as one
+    new = np.ones(len(start), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])
+    heads = np.flatnonzero(new)
+    ends = np.append(heads[1:], len(new)) - 1
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    by = np.lexsort((pairs[:, 0], pairs[:, 1], text))
-    done: tuple = ()
-    for k, (start, item) in zip(text[by], pairs[by]):
-        n = len(index.words[item])
-        d = index.config.most(n)
-        if done and done[0] == (k, item) and start + n + d <= done[1]:
-            continue
-        low, high = max(offsets[k], start - d), min(offsets[k + 1], start + 2 * n + 2 * d)
-        done = ((k, item), high)
-        dist, a, b = within(index.words[item], flat[low:high])
-        if dist <= d:
-            best[k, item] = min(best.get((k, item), (dist, low + a, low + b)), (dist, low + a, low + b))
+    for k, i, l, h, most in zip(*(x.tolist() for x in (text[heads], item[heads], low[heads], high[ends], d[heads]))):
+        dist, a, b = within(index.words[i], flat[l:h])
+        if dist <= most:
+            best[k, i] = min(best.get((k, i), (dist, l + a, l + b)), (dist, l + a, l + b))
     for (k, item), (dist, a, b) in sorted(best.items()):
-        spans = [m.span() for m in WORD.finditer((texts[k] or "").lower())]
+        spans = [m.span() for m in spans_of(texts[k])]
         yield int(k), index.ids[item], spans[a - offsets[k]][0], spans[b - 1 - offsets[k]][1], dist
 
 
@@ -219,7 +320,7 @@ def blocks(benchmark: DataFrame, config: Config) -> Iterator[list[tuple[int, lis
     """The benchmark's items in blocks of config.block_words words; the driver holds one at a time."""
     block, n = [], 0
     for row in take(benchmark, "item_id", "text").toLocalIterator():
-        words = WORD.findall((row.text or "").lower())
+        words = words_of(row.text)
         if len(words) >= config.least:
             block.append((row.item_id, words))
             n += len(words)

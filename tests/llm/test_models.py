@@ -158,6 +158,38 @@ def test_places_agree_as_configured():
     assert np.mean(share) > config.agree**config.places
 
 
+def found_of(texts, items):
+    index = decontaminate.build([(i, decontaminate.words_of(t)) for i, t in items], decontaminate.Config())
+    return {(k, i): d for k, i, _, _, d in decontaminate.matches(texts, index)}
+
+
+@pytest.mark.parametrize("n", [8, 15, 25, 59, 120, 200, 300, 500])
+@pytest.mark.parametrize("kind", ["changed", "deleted", "inserted", "mixed"])
+def test_long_items_are_found_at_the_most_edits_of_each_kind(n, kind):
+    rng, most = random.Random(n), decontaminate.Config().most(n)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(n))) for i in range(60)]
+    texts = []
+    for _, item in items:
+        w = item.split()
+        for at in sorted(rng.sample(range(n), most), reverse=True):
+            k = rng.choice(["changed", "deleted", "inserted"]) if kind == "mixed" else kind
+            w[at : at + (k != "inserted")] = [] if k == "deleted" else [f"new{rng.randrange(999)}"]
+        texts.append(" ".join([*(f"o{rng.randrange(99)}" for _ in range(rng.randint(0, 40))), *w, "and", "more"]))
+    got = found_of(texts, items)
+    assert sum((i, i) in got for i in range(60)) >= (59 if n <= 15 else 60)
+    assert all(d <= most for d in got.values())
+
+
+def test_counting_in_small_parts_finds_the_same(monkeypatch):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(30, 90)))) for i in range(20)]
+    texts = [" ".join([*(f"w{rng.randrange(40)}" for _ in range(rng.randint(0, 200))), *edited(t.split(), len(t.split()) // 6, rng)]) for _, t in items] + [None, "w1"]
+    whole = found_of(texts, items)
+    assert {(i, i) for i in range(20)} <= set(whole)
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    assert found_of(texts, items) == whole
+
+
 def test_no_benchmark_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
