@@ -1,7 +1,8 @@
 r"""Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Texts and items are lower-cased words `\w+`; the distance is the edit distance
-of word sequences. The CGK random walk reads a window from its start; at step j
+Texts and items are lower-cased words `\w+`, in scripts without spaces (Chinese,
+Japanese, Thai, Lao, Burmese, Khmer) single characters; the distance is the edit
+distance of word sequences. The CGK random walk reads a window from its start; at step j
 it writes the word under it and moves on if a random bit of (j, word) is set, so
 that windows a few edits apart fall into step again and differ in few of the
 written places. Each repetition has its own walk and its own sampled places;
@@ -25,9 +26,9 @@ The benchmark is read in blocks of bounded size, each compared with all texts,
 so it need not fit anywhere whole.
 
 Defined cases: a null or wordless text matches nothing; items of fewer than
-`least` words, null or empty ones are not searched for; repeated items and rows
-are items and rows each; an empty table gives an empty result. Other columns are
-ignored.
+`least` words are searched for without edits, null or wordless ones not at all;
+repeated items and rows are items and rows each; an empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,22 +45,26 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_docs, release, take
 from .near_dedup import mix
 
-WORD = re.compile(r"\w+")
+#: Letters and marks of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han.
+UNSPACED = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e80-\u0ecf\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD, ASCII = re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]"), re.compile(r"\w+")
 #: Most pairs of a place and an item that are counted at once, as far as one item's length allows.
 HITS = 1 << 21
 
 
 def spans_of(text: str | None) -> Iterator[re.Match]:
-    return WORD.finditer((text or "").lower())
+    text = (text or "").lower()
+    return (ASCII if text.isascii() else WORD).finditer(text)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return (ASCII if text.isascii() else WORD).findall(text)
 
 
 @dataclass(frozen=True)
 class Config:
-    """edits: most edits, as a share of the item's words. agree: share of places in which a window that many edits away agrees (measured: tests). places: sampled places of a repetition. recall: target of the candidate search. least: words of the shortest item. block_words: words of benchmark items held at once."""
+    """edits: most edits, as a share of the item's words. agree: share of places in which a window that many edits away agrees (measured: tests). places: sampled places of a repetition. recall: target of the candidate search. least: words of the shortest item that may be edited. block_words: words of benchmark items held at once."""
 
     edits: float = 0.2
     agree: float = 0.5
@@ -74,7 +79,8 @@ class Config:
 
     def most(self, n):
         """Edits allowed for items of n words."""
-        return np.floor(self.edits * n + 1e-9).astype(int) if isinstance(n, np.ndarray) else int(self.edits * n + 1e-9)
+        d = np.where(np.asarray(n) < self.least, 0, np.floor(self.edits * np.asarray(n) + 1e-9)).astype(int)
+        return d if isinstance(n, np.ndarray) else int(d)
 
 
 def walk(words: np.ndarray, start: np.ndarray, stop: np.ndarray, steps: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -321,7 +327,7 @@ def blocks(benchmark: DataFrame, config: Config) -> Iterator[list[tuple[int, lis
     block, n = [], 0
     for row in take(benchmark, "item_id", "text").toLocalIterator():
         words = words_of(row.text)
-        if len(words) >= config.least:
+        if words:
             block.append((row.item_id, words))
             n += len(words)
         if n >= config.block_words:

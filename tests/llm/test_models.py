@@ -190,6 +190,22 @@ def test_counting_in_small_parts_finds_the_same(monkeypatch):
     assert found_of(texts, items) == whole
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(0, "one"), (1, "two words"), (2, "just four words here"), (3, "今天天气很好我们去公园"), (4, "吃饭"), (5, "ภาษาไทยไม่มีช่องว่าง"), (6, "!!"), (7, None)]
+    texts = ["so One it is", "TWO, words", "two other words", "just four words", "x just four words here y", "他说今天天汽很好我们去公园吧", "一起吃饭吧", "吃的饭", "เขียนภาษาไทยไม่มีช่องว่างนะ", "one", None, "someone"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    want = {(0, 0), (9, 0), (1, 1), (4, 2), (5, 3), (6, 4), (8, 5)}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(frame(spark, rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    at = next(r for r in got if r.item_id == 4)
+    assert texts[6][at.start : at.stop] == "吃饭" and {r.item_id: r.distance for r in got}[3] == 1
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(frame(spark, rows), benchmark).collect()}
+    assert kept == {r[0] for r in rows} - {d for d, _ in want}
+    alone = decontaminate.contaminated(frame(spark, rows), benchmark.where("item_id = 0")).collect()
+    assert {r.doc_id for r in alone} == {0, 9}
+
+
 def test_no_benchmark_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
