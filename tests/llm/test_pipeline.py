@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline as p
 
+from .helpers import DOCS
 from .test_models import brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,17 @@ def test_stages_stand_an_empty_table(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.count() == 0
+
+
+def test_text_copied_over_a_source_survives_once(spark):
+    """Copies of one text on over 5 % of a source keep its lines, for near-dedup to leave one; near copies lose the shared lines and keep their own."""
+    copied = "\n".join(" ".join(f"line{i}w{j}" for j in range(12)) for i in range(6))
+    plain = [(i, " ".join(f"d{i}w{j}" for j in range(40)), "en", "s", 1) for i in range(100)]
+    whole = [(1000 + i, copied, "en", "s", 1) for i in range(8)]
+    close = [(2000 + i, f"{copied}\nown{i} words here that no other has", "en", "s", 1) for i in range(4)]
+    docs = p.lines(spark, spark.createDataFrame(plain + whole + close, DOCS), SF)
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert all(got[i] == copied for i, *_ in whole) and all(got[i] == t for i, t, *_ in plain)
+    assert all(got[2000 + i] == f"own{i} words here that no other has" for i in range(4))
+    left = {r.doc_id: r.text for r in p.near_duplicates(spark, docs, SF).collect()}
+    assert set(left) == {i for i, *_ in plain} | {1000} | {2000 + i for i in range(4)} and left[1000] == copied
