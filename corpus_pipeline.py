@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import decontaminate, lang_id, line_dedup, near_dedup, sampled_pieces
-from fathom.llm.common import Scratch, checked, take
+from fathom.llm.common import Scratch, checked, digest, take
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,10 +23,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One row of each group of near duplicates: that of the least doc_id, null ones last, among these of the least digest. Rows are nodes by doc_id and text, so null and repeated ids take part as well."""
     scratch, docs = Scratch(spark, "near"), take(docs, *COLUMNS)
-    gone = scratch.save(near_dedup.near_dedup(docs, scratch).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(checked(gone, 16), F.col("doc_id") == F.col("gone"), "left_anti")
+    node = F.xxhash64("doc_id", "text")
+    a, b = digest(*[F.col(c) for c in COLUMNS], *[F.col(c).isNull() for c in COLUMNS])
+    found = near_dedup.near_dedup(docs.select(node.alias("doc_id"), "text"), scratch)
+    named = scratch.save(found.select(F.col("doc_id").alias("node"), "component_id").distinct(), "named")
+    rows = docs.select(node.alias("node"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", a.alias("a"), b.alias("b")).alias("row"))
+    rows = rows.groupBy("node", "row").agg(F.count(F.lit(1)).alias("n")).join(named, "node")
+    rows = scratch.save(rows.select("component_id", "row", "n"), "rows")
+    best = rows.groupBy("component_id").agg(F.min("row").alias("best"), F.sum("n").alias("all")).where("all > 1").select("component_id", "best")
+    best = scratch.save(best, "best")
+    gone = rows.join(checked(best, 64), "component_id").where("row <> best OR n > 1").select(F.col("row.a").alias("ga"), F.col("row.b").alias("gb"), (F.col("row") == F.col("best")).alias("again"))
+    gone = scratch.save(gone, "gone")
+    keyed = docs.withColumns({"a": a, "b": b})
+    same = (F.col("a") == F.col("ga")) & (F.col("b") == F.col("gb"))
+    once = keyed.join(checked(gone, 32), same, "left_anti").select(*COLUMNS)
+    again = keyed.join(checked(gone.where("again"), 32), same, "left_semi").dropDuplicates(["a", "b"]).select(*COLUMNS)
+    return once.unionByName(again)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,19 @@ def test_stages_stand_an_empty_table(spark, tmp_path):
     assert docs.count() == 0
 
 
+def test_one_row_of_each_group_whatever_its_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    near = lambda k: text(k) + " more"
+    rows = [(1, text("a"), "en", "s", 1), (None, text("a"), "en", "s", 1), (None, near("a"), "en", "s", 1), (2, near("a"), "en", "s", 1)]
+    rows += [(None, text("b"), "en", "s", 1)] * 3 + [(None, text("b"), "de", "s", 1), (None, near("b"), "en", "s", 1)]
+    rows += [(3, text("c"), "en", "s", 1)] * 3 + [(3, text("c"), "de", "s", 1)] + [(4, text("d"), "en", "s", 1), (4, text("e"), "en", "s", 1), (5, text("e"), None, "s", 1)]
+    rows += [(6, None, "en", "s", None), (7, None, "en", "s", None), (8, "", "en", "s", None), (None, None, "en", "s", None), (None, None, "en", "s", None)]
+    got = [tuple(r) for r in p.near_duplicates(spark, spark.createDataFrame(rows, DOCS), SF).collect()]
+    assert set(got) <= set(rows) and len(got) == len(set(got))
+    kept = sorted(((r[0] or 0, (r[1] or "-")[:1]) for r in got))
+    assert kept == [(0, "-"), (0, "b"), (1, "a"), (3, "c"), (4, "d"), (4, "e"), (6, "-"), (7, "-"), (8, "-")]
+
+
 def test_text_copied_over_a_source_survives_once(spark):
     """Copies of one text on over 5 % of a source keep its lines, for near-dedup to leave one; near copies lose the shared lines and keep their own."""
     copied = "\n".join(" ".join(f"line{i}w{j}" for j in range(12)) for i in range(6))
