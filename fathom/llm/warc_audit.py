@@ -6,12 +6,15 @@ key. Offsets add up within segments and over the segments of a file, so no task
 sorts a whole file. Per file, a tree is built over the ordered records: a leaf is the SHA-256 of a record with its offset range, a
 node the SHA-256 of its children's ranges and hashes, `fanout` of them to a
 node. An audit compares the roots of two replicas and goes down only below nodes
-that differ; what it reaches are the corrupt records and their byte ranges.
+that differ. A change of length moves all later records of its file, so what it
+reaches is matched by key and content: records of equal content are intact wherever
+they lie, what is left of a key on both sides is corrupt, on one side missing or
+extra.
 
 Defined cases: null url and html are empty; a null key is a key of its own and
 comes first; repeated rows are records each, their order among equals is that of
-their bytes; a record that one replica lacks shows as a range that the other has
-nothing for; an empty table gives no files and no findings. Other columns are
+their bytes; a record that one replica lacks is missing or extra, with its range in
+the other, and a record whose key is damaged is both; an empty table gives no files and no findings. Other columns are
 ignored.
 """
 
@@ -52,7 +55,7 @@ def to_records(pages: DataFrame, n_files: int) -> DataFrame:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """file, at (place in the file), key, start, stop (bytes), hash. Only lengths and hashes are sorted, a segment at a time."""
+    """file, at (place in the file), key, start, stop (bytes), sha of the record, hash of it with its range. Only lengths and hashes are sorted, a segment at a time."""
     narrow = records.select("file", "segment", "key", F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("sha"))
     total = narrow.groupBy("file", "segment").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     over = Window.partitionBy("file").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
@@ -60,7 +63,7 @@ def leaves(records: DataFrame) -> DataFrame:
     w = Window.partitionBy("file", "segment").orderBy("key", "sha")
     at = narrow.withColumn("i", F.row_number().over(w) - 1).withColumn("upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = at.join(total, ["file", "segment"]).withColumn("stop", F.col("bytes") + F.col("upto")).withColumn("start", F.col("stop") - F.col("size"))
-    return at.select("file", (F.col("n") + F.col("i")).alias("at"), "key", "start", "stop", F.sha2(F.concat_ws(":", "start", "stop", "sha"), 256).alias("hash"))
+    return at.select("file", (F.col("n") + F.col("i")).alias("at"), "key", "start", "stop", "sha", F.sha2(F.concat_ws(":", "start", "stop", "sha"), 256).alias("hash"))
 
 
 class Tree:
@@ -100,10 +103,16 @@ def differing(one: Tree, two: Tree, scratch: Scratch) -> DataFrame:
 def audit(one: Tree, two: Tree, scratch: Scratch) -> DataFrame:
     """file, at, key, start, stop of the first replica's record, or the second's where the first has none; status: corrupt, missing or extra in the second."""
     found = differing(one, two, scratch)
-    a = one.levels[0].join(checked(found, 48), ["file", "at"])
-    b = two.levels[0].join(checked(found.where("sides = 2"), 48), ["file", "at"])
+    reached = [t.levels[0].join(checked(found.where(f"sides & {k} > 0"), 48), ["file", "at"]).select("file", "at", "key", "start", "stop", "sha", F.lit(k).alias("side")) for k, t in ((1, one), (2, two))]
+    reached = scratch.save(reached[0].unionByName(reached[1]), "reached")
+    place = F.struct("at", "start", "stop")
+    nth = F.row_number().over(Window.partitionBy("file", "key", "sha", "side").orderBy("at"))
+    alone = reached.withColumn("nth", nth).groupBy("file", "key", "sha", "nth").agg(F.bit_or("side").alias("side"), F.min(place).alias("place")).where("side <> 3")
+    nth = F.row_number().over(Window.partitionBy("file", "key", "side").orderBy("place"))
+    side = lambda k: F.min(F.when(F.col("side") == k, F.col("place")))
+    pair = alone.withColumn("nth", nth).groupBy("file", "key", "nth").agg(F.bit_or("side").alias("sides"), F.coalesce(side(1), side(2)).alias("place"))
     status = F.expr("CASE sides WHEN 3 THEN 'corrupt' WHEN 1 THEN 'missing' ELSE 'extra' END")
-    return a.unionByName(b).select("file", "at", "key", "start", "stop", status.alias("status"))
+    return pair.select("file", "place.at", "key", "place.start", "place.stop", status.alias("status"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -141,14 +150,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as a record, with what an audit says of it against a replica in which records whose id's SHA-256 starts with 00 have one character changed."""
+    """Every page as a record, with what an audit says of it against a damaged replica: of the records whose id's SHA-256 starts with 00 one character is changed, with 01 one is cut off, with 02 one is added, and those with 03 are missing."""
     scratch = Scratch(spark, "op7")
     pages = take(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
     total = pages.agg(F.sum(F.octet_length("html").cast("long") + 300)).first()[0] or 0
     records = to_records(pages, files_for(total))
-    hurt = F.sha2(F.col("key").cast("string"), 256).startswith("00")
-    replica = records.withColumn("data", F.when(hurt, F.concat(F.expr("substring(data, 1, char_length(data) - 5)"), F.lit("\x01\r\n\r\n"))).otherwise(F.col("data")))
+    kind = F.substring(F.sha2(F.col("key").cast("string"), 256), 1, 2)
+    but = lambda n: F.expr(f"substring(data, 1, char_length(data) - {n})")
+    changed = F.when(kind == "00", F.concat(but(5), F.lit("\x01\r\n\r\n"))).when(kind == "01", F.concat(but(5), F.lit("\r\n\r\n"))).when(kind == "02", F.concat(but(4), F.lit("\x01\r\n\r\n")))
+    replica = records.where(~F.coalesce(kind == "03", F.lit(False))).withColumn("data", F.coalesce(changed, F.col("data")))
     one, two = Tree(records, scratch, "a"), Tree(replica, scratch, "b")
-    found = scratch.save(audit(one, two, scratch), "found").select("file", "at", "status")
+    found = scratch.save(audit(one, two, scratch), "found").where("status <> 'extra'").select("file", "at", "status")
     rows = one.levels[0].join(checked(found, 64), ["file", "at"], "left")
     return rows.select(F.col("key").alias("page_id"), "file", "start", "stop", "hash", F.coalesce("status", F.lit("intact")).alias("status"))

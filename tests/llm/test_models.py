@@ -266,6 +266,19 @@ def test_audit_of_missing_records_and_empty_tables(spark):
     assert not warc_audit.audit(*none, scratch).collect()
 
 
+def test_audit_locates_changes_of_length_and_records_amid_a_file(spark):
+    scratch = Scratch(spark, "t")
+    records = warc_audit.to_records(pages(spark), 2)
+    data = "CASE WHEN key = 17 THEN concat(data, 'X') WHEN key = 40 THEN substring(data, 1, 60) ELSE data END AS data"
+    other = records.where("key IS NULL OR key NOT IN (100, 101)").selectExpr("file", "segment", "key", data)
+    other = other.unionByName(records.where("key = 50").selectExpr("file", "segment", "1000 AS key", "data"))
+    one, two = (warc_audit.Tree(r, scratch, n, 4) for r, n in ((records, "a"), (other, "b")))
+    got = warc_audit.audit(one, two, scratch).collect()
+    assert sorted((r.key, r.status) for r in got) == [(17, "corrupt"), (40, "corrupt"), (100, "missing"), (101, "missing"), (1000, "extra")]
+    at = {(r.file, r.at, r.start, r.stop) for r in got if r.status != "extra"}
+    assert at == {(r.file, r.at, r.start, r.stop) for r in one.levels[0].where("key IN (17, 40, 100, 101)").collect()}
+
+
 @needs_data
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
