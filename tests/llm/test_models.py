@@ -403,3 +403,26 @@ def test_pieces_decode_to_the_text(spark, proto):
     again = sampled_pieces.sampled_pieces(frame(spark, rows[5:10]), samples=3).collect()
     assert all((r.sample, tuple(r.ids), r.log_prob, r.log_inclusion) in by[r.doc_id] for r in again)
     assert sampled_pieces.sampled_pieces(frame(spark, [])).count() == 0
+
+
+@needs_model
+def test_nodes_left_out_at_first_change_nothing(proto, monkeypatch):
+    """Steps far below a path's start are looked at only where they could matter; looking at all of them gives the same samples."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc de\n é▁") for _ in range(rng.choice([0, 3, 50, 900]))) for _ in range(60)] + [None]
+    sampler, got = sampled_pieces.Sampler(proto, 4), []
+    for reach in (100.0, 1e9, 3.0):
+        monkeypatch.setattr(sampled_pieces, "REACH", reach)
+        got.append([[(tuple(map(int, ids)), *figures) for ids, *figures in found] for found in sampler.sample(list(range(61)), texts)])
+    assert got[0] == got[1] == got[2]
+
+
+@needs_model
+def test_best_segmentation_is_the_most_probable(proto):
+    sampler = sampled_pieces.Sampler(proto)
+    texts = ["the", "a b", "1é▁", "ab 12", " x", "", None, "then a cat"]
+    for text, ids in zip(texts, sampler.best(texts)):
+        assert sampler.v.decode(ids) == (text or "")
+        if text:
+            exact = segmentations(text, sampler.v)
+            assert exact[tuple(map(int, ids))] >= max(exact.values()) - 1e-9
