@@ -16,36 +16,93 @@ def bare(text):
     return re.sub(r"[\x20\x09-\x0D]", "", text or "")
 
 
+def brute_exact(rows):
+    groups = defaultdict(list)
+    for d, t, *_ in rows:
+        groups[bare(t)].append((-len(t or ""), d is None, d))
+    return Counter((d, min(groups[bare(t)])[2], len(groups[bare(t)]), (-len(t or ""), d is None, d) == min(groups[bare(t)])) for d, t, *_ in rows)
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_exact_dedup_matches_brute_force(spark, clash):
     rows = corpus(1)
     df = frame(spark, rows)
     scratch = Scratch(spark, "t")
-    got = exact_dedup.exact_dedup(clashing(df) if clash else df, exact_dedup.DigestIndex(spark, f"{scratch.root}/i"), scratch).collect()
-    groups = defaultdict(list)
-    for d, t, *_ in rows:
-        groups[bare(t)].append((-len(t or ""), d))
-    want = Counter((d, min(groups[bare(t)])[1], len(groups[bare(t)]), (-len(t or ""), d) == min(groups[bare(t)])) for d, t, *_ in rows)
-    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == want
+    got = exact_dedup.exact_dedup(clashing(df) if clash else df, exact_dedup.DigestIndex(spark, f"{scratch.root}/i"), "b", scratch).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == brute_exact(rows)
     assert {(r.doc_id, r.digest.hex()) for r in got} == {(d, hashlib.sha256(bare(t).encode()).hexdigest()) for d, t, *_ in rows}
 
 
+def one(spark, *rows):
+    return frame(spark, [(*r, None, None, None) for r in rows])
+
+
+def ruling(spark, df, index, batch):
+    return {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(df, index, batch, Scratch(spark, "t")).collect()}
+
+
 def test_exact_dedup_of_a_later_batch_keeps_what_the_index_has(spark):
-    root = Scratch(spark, "t").root
-    one, two = Scratch(spark, "t"), Scratch(spark, "t")
-    exact_dedup.exact_dedup(frame(spark, [(5, "a b", None, None, None)]), exact_dedup.DigestIndex(spark, root, 4), one).collect()
+    root = Scratch(spark, "t").root + "/it's"
     index = exact_dedup.DigestIndex(spark, root, 4)
-    got = exact_dedup.exact_dedup(frame(spark, [(1, "a  b", None, None, None), (2, "c", None, None, None)]), index, two).collect()
-    assert {(r.doc_id, r.keep_id, r.kept) for r in got} == {(1, 5, False), (2, 2, True)}
-    assert index.read().count() == 2
+    ruling(spark, one(spark, (5, "a b")), index, "one")
+    index.commit("one")
+    index = exact_dedup.DigestIndex(spark, root, 4)
+    assert ruling(spark, one(spark, (1, "a  b"), (2, "c")), index, "two") == {(1, 5, False), (2, 2, True)}
+    index.commit("two")
+    assert {(r.keep_id, r.n) for r in index.read().collect()} == {(5, 1), (2, 1)}
+
+
+def test_a_batch_run_again_decides_alike(spark):
+    """After a loss between staging and writing, and after a commit that its caller didn't get to see."""
+    index = exact_dedup.DigestIndex(spark, Scratch(spark, "t").root, 4)
+    batch = one(spark, (1, "x y"), (2, "xy"), (3, "z"))
+    want = ruling(spark, batch, index, "a")
+    assert want == {(1, 1, True), (2, 1, False), (3, 3, True)} and not index.committed() and not index.read().count()
+    assert ruling(spark, batch, index, "a") == want
+    # what is staged and not committed hides nothing from others
+    assert ruling(spark, one(spark, (9, "z")), index, "b") == {(9, 9, True)}
+    index.commit("a")
+    index.commit("a")
+    assert ruling(spark, batch, index, "a") == want and index.read().count() == 2
+    assert ruling(spark, one(spark, (9, "z")), exact_dedup.DigestIndex(spark, index.path, 4), "b") == {(9, 3, False)}
+
+
+def test_compaction_keeps_the_entries(spark):
+    index = exact_dedup.DigestIndex(spark, Scratch(spark, "t").root, 4)
+    for k in range(3):
+        ruling(spark, one(spark, (k, f"text {k}"), (10 + k, "shared")), index, f"b{k}")
+        index.commit(f"b{k}")
+    before = sorted(map(tuple, index.read().collect()))
+    index.compact()
+    assert sorted(map(tuple, index.read().collect())) == before and len(before) == 4 and len(index.committed()) == 1
+    again = exact_dedup.DigestIndex(spark, index.path, 4)
+    assert sorted(map(tuple, again.read().collect())) == before
+    assert ruling(spark, one(spark, (77, "shared"), (78, "new")), again, "b9") == {(77, 10, False), (78, 78, True)}
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_batches_with_update_come_to_the_whole_tables_decisions(spark, parts):
+    rows = corpus(7, 120) + [(None, "a b", None, None, None), (400, "a b ", None, None, None), (401, " ab ", None, None, None)]
+    scratch = Scratch(spark, "t")
+    index = exact_dedup.DigestIndex(spark, f"{scratch.root}/i", 4)
+    every = scratch.save(exact_dedup.digests(frame(spark, rows)).withColumn("k", exact_dedup.F.pmod(exact_dedup.F.xxhash64("doc_id"), exact_dedup.F.lit(parts))), "rows")
+    for k in range(parts):
+        exact_dedup.arrive(every.where(f"k = {k}"), index, f"b{k}", scratch, update=True)
+        index.commit(f"b{k}")
+    if parts == 5:
+        index.compact()
+    got = exact_dedup.ruled(every, scratch.save(index.read().withColumnRenamed("n", "group_size"), "final")).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == brute_exact(rows)
 
 
 def test_exact_dedup_null_id_and_empty_table(spark):
     s = Scratch(spark, "t")
-    got = exact_dedup.exact_dedup(frame(spark, [(None, "q", None, None, None), (7, "q", None, None, None)]), exact_dedup.DigestIndex(spark, f"{s.root}/i"), s).collect()
-    assert {(r.doc_id, r.keep_id, r.kept) for r in got} == {(None, 7, False), (7, 7, True)}
-    s = Scratch(spark, "t")
-    assert not exact_dedup.exact_dedup(frame(spark, []), exact_dedup.DigestIndex(spark, f"{s.root}/i"), s).collect()
+    index = exact_dedup.DigestIndex(spark, f"{s.root}/i")
+    assert ruling(spark, one(spark, (None, "q"), (7, "q")), index, "b") == {(None, 7, False), (7, 7, True)}
+    index.commit("b")
+    assert not ruling(spark, frame(spark, []), index, "c")
+    index.commit("c")
+    assert index.read().count() == 1
 
 
 @pytest.mark.parametrize("limit", [100, 1000, 1 << 30])
