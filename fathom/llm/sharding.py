@@ -26,7 +26,8 @@ from .common import Scratch, checked, take
 BITS = 60
 #: Bits by which the first cells are finer than shards of the limit's size.
 FINER = 5
-LIMIT = 64 << 20
+#: Bytes of a shard in the query: small, so that tables of any size split to unequal depths.
+LIMIT = 256 << 10
 
 
 def hash60(*cols: Column) -> Column:
@@ -105,6 +106,11 @@ def _pages(same: DataFrame, own: list[str], limit: int) -> DataFrame:
     return rows.select(*own, F.concat("shard", F.lit("/"), F.col("page").cast("string")).alias("shard"), F.lit(2 * BITS).alias("depth"), (F.col("k") * F.col("bytes")).alias("shard_bytes"), F.col("k").alias("shard_rows"))
 
 
+def directory(sharded: DataFrame) -> DataFrame:
+    """The directory's leaves: shard (its hash prefix in bits), depth, shard_bytes, n_rows, oversized."""
+    return sharded.groupBy("shard", "depth", "shard_bytes", "oversized").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder per shard, its rows together: hash-partitioned by shard, so that a shard is written by one task."""
     sharded.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)

@@ -1,6 +1,7 @@
 """The operators that stay in Spark's own functions, against plain Python."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -136,6 +137,15 @@ def test_equal_keys_and_equal_rows_still_part(spark):
     assert not sharding.assign_shards(frame(spark, []), ["lang"], ["text"], 20, Scratch(spark, "t")).collect()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data here")
+def test_the_querys_shards_have_many_depths(spark):
+    got = sharding.op1_extendible_sharding(spark, "/root/testdata/sf0.01")
+    leaves = sharding.directory(got).collect()
+    assert len({r.depth for r in leaves}) >= 3 and len(leaves) > 8 and all(r.depth == len(r.shard) for r in leaves)
+    assert not any(a.shard != b.shard and b.shard.startswith(a.shard) for a in leaves for b in leaves)
+    assert sum(r.n_rows for r in leaves) == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+
+
 def test_written_shards_hold_their_rows(spark, tmp_path):
     out = sharding.assign_shards(frame(spark, corpus(3)), ["doc_id"], ["text"], 500, Scratch(spark, "t"))
     sharding.write_shards(out, str(tmp_path / "s"))
