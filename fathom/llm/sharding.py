@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, checked, take
 
 BITS = 60
-#: Bits by which the first cells are finer than shards of the limit's size.
-FINER = 5
+#: Bits by which the first cells are finer than shards of the limit's size; levels of the trie that are summed at once.
+FINER, LEVELS = 5, 6
 #: Bytes of a shard in the query: small, so that tables of any size split to unequal depths.
-LIMIT = 256 << 10
+LIMIT = 64 << 10
 
 
 def hash60(*cols: Column) -> Column:
@@ -40,6 +40,22 @@ def _cell(deep: int) -> Column:
     return F.shiftright("h", BITS - deep)
 
 
+def _nodes(cells: DataFrame, low: int, deep: int, scratch: Scratch, label: str) -> DataFrame:
+    """base, depth, prefix, shard_bytes, shard_rows of the trie's nodes from depth low to deep; each few levels are summed from the highest of the levels below."""
+    out, below = None, cells.select("base", F.col("cell").alias("prefix"), F.col("b").alias("shard_bytes"), F.col("n").alias("shard_rows"))
+    while True:
+        high = max(low, deep - LEVELS)
+        up = below.select("base", "prefix", "shard_bytes", "shard_rows", F.explode(F.sequence(F.lit(high), F.lit(deep))).alias("depth"))
+        up = up.withColumn("prefix", F.expr(f"shiftright(prefix, {deep} - depth)"))
+        nodes = up.groupBy("base", "depth", "prefix").agg(F.sum("shard_bytes").alias("shard_bytes"), F.sum("shard_rows").alias("shard_rows"))
+        nodes = scratch.save(nodes, f"{label}levels{high}")
+        own = nodes if out is None else nodes.where(F.col("depth") < deep)
+        out = own if out is None else out.unionByName(own)
+        if high == low:
+            return out
+        below, deep = nodes.where(F.col("depth") == high).drop("depth"), high
+
+
 def _place(rows: DataFrame, limit: int, scratch: Scratch, label: str) -> tuple[DataFrame, DataFrame | None]:
     """rows(base, h, bytes, ...) with shard, depth, shard_bytes, shard_rows; and those, if any, that 60 bits of h don't part.
 
@@ -51,11 +67,13 @@ def _place(rows: DataFrame, limit: int, scratch: Scratch, label: str) -> tuple[D
     left, out = rows, None
     while True:
         cells = scratch.save(left.groupBy("base", _cell(deep).alias("cell")).agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")), f"{label}cells{turn}")
-        at = cells.select("base", "cell", "b", "n", F.explode(F.sequence(F.lit(low), F.lit(deep))).alias("depth"))
-        at = at.withColumn("prefix", F.expr(f"shiftright(cell, {deep} - depth)"))
-        nodes = at.groupBy("base", "depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
+        nodes = _nodes(cells, low, deep, scratch, f"{label}{turn}")
+        at = cells.select("base", "cell", F.explode(F.sequence(F.lit(low), F.lit(deep))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {deep} - depth)"))
         fits = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (F.col("depth") == BITS)
-        pairs = at.join(nodes.where(fits), ["base", "depth", "prefix"])
+        nodes = scratch.save(nodes.where(fits), f"{label}nodes{turn}")
+        # short prefixes hold the most cells; those above all nodes that fit are not dealt out
+        top = nodes.agg(F.min("depth")).first()[0]
+        pairs = at.where(F.col("depth") >= F.lit(low if top is None else top)).join(nodes, ["base", "depth", "prefix"])
         leaf = pairs.groupBy("base", "cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("leaf"))
         leaves = scratch.save(leaf.select("base", "cell", "leaf.*"), f"{label}leaves{turn}")
         big = scratch.save(cells.join(leaves, ["base", "cell"], "left_anti").select("base", "cell"), f"{label}big{turn}")
