@@ -10,8 +10,10 @@ Once trained, embeddings and softmax are folded into one table of class scores
 per subword, so prediction is a sum of table rows over the whole text.
 
 Learned are only rows with a known language and crc32(doc_id as text) mod 5 not
-0; of those, mod 5 = 1 calibrates. Bounds: `per_lang` rows of a language, and of
-each a window of at most `window` characters, at a place given by the row's hash.
+0; of those, mod 5 = 1 calibrates. Bounds: `per_lang` rows of each language, those
+of the least hash of doc_id and text, and of each a window of at most `window`
+characters, at a place given by the row's hash; every language is learned, and the
+same table gives the same model.
 
 Defined cases: a null text or one without letters is `und` with score 0 and is
 rejected; with nothing to learn from every text is `und`; a null doc_id is
@@ -27,10 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_docs, release, take
+from .common import arrow_docs, digest, release, take
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,6 @@ class Config:
     rate: float = 0.2
     lost: float = 0.001
     ceiling: float = 0.5
-    max_langs: int = 1000
 
 
 BLANK = bytes(b if b >= 128 or chr(b).islower() else ord(chr(b).lower()) if chr(b).isupper() else 32 for b in range(256))
@@ -114,6 +115,27 @@ def _bag(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray] | None:
     return found, (n / n.sum()).astype(np.float32)
 
 
+def layers(fit: list[tuple[tuple[np.ndarray, np.ndarray], int]], langs: int, config: Config, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, softmax weights and bias, learned from bags of subwords and their classes."""
+    emb = rng.normal(0, 1, (config.buckets, config.dims)).astype(np.float32)
+    out, bias = rng.normal(0, 0.3, (config.dims, langs)).astype(np.float32), np.zeros(langs, np.float32)
+    for epoch in range(config.epochs):
+        rate = np.float32(config.rate * (1 - epoch / config.epochs))
+        for i in rng.permutation(len(fit)):
+            (ids, weight), y = fit[i]
+            mean = weight @ emb[ids]
+            logits = mean @ out + bias
+            p = np.exp(logits - logits.max())
+            p /= p.sum()
+            p[y] -= 1
+            back = out @ p
+            out -= rate * np.outer(mean, p)
+            bias -= rate * p
+            # a step moves the mean by rate times its gradient, however many subwords share it
+            emb[ids] -= (rate / (weight @ weight)) * weight[:, None] * back[None, :]
+    return emb, out, bias
+
+
 def train(rows: list[tuple[int, str, str]], config: Config = Config()) -> Model:
     """rows: (doc_id, text, lang). Whole rows, and a few words of each so that short texts are known too."""
     rng = np.random.Generator(np.random.PCG64(8))
@@ -130,22 +152,7 @@ def train(rows: list[tuple[int, str, str]], config: Config = Config()) -> Model:
         at = int(rng.integers(0, max(1, len(words) - n)))
         if not holds and has_letter(part := " ".join(words[at : at + n])):
             fit.append((_bag(part, config.buckets), langs.index(lang)))
-    emb = rng.normal(0, 1, (config.buckets, config.dims)).astype(np.float32)
-    out, bias = rng.normal(0, 0.3, (config.dims, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
-    for epoch in range(config.epochs):
-        rate = np.float32(config.rate * (1 - epoch / config.epochs))
-        for i in rng.permutation(len(fit)):
-            (ids, weight), y = fit[i]
-            mean = weight @ emb[ids]
-            logits = mean @ out + bias
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[y] -= 1
-            back = out @ p
-            out -= rate * np.outer(mean, p)
-            bias -= rate * p
-            # a step moves the mean by rate times its gradient, however many subwords share it
-            emb[ids] -= (rate / (weight @ weight)) * weight[:, None] * back[None, :]
+    emb, out, bias = layers(fit, len(langs), config, rng)
     table = (emb @ out).T.copy()
     held = held or fit
     logits = np.array([table[:, ids] @ weight + bias for (ids, weight), _ in held])
@@ -171,16 +178,21 @@ def _learnable(df: DataFrame) -> DataFrame:
 
 
 def sample(df: DataFrame, config: Config = Config()) -> list[tuple[int, str, str]]:
-    """About per_lang rows of each language, chosen by the hash of doc_id."""
+    """At most per_lang rows of each language, those of the least hash; equal rows count once. Whatever the order of the rows, the same ones are chosen."""
     rows = _learnable(df)
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(config.max_langs).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(1, config.per_lang / r.n) * (1 << 30)))])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")])
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.char_length("text") - config.window, F.lit(0)) + 1) + 1
-    chosen = chosen.select("doc_id", F.substring("text", at.cast("int"), F.lit(config.window)).alias("text"), "lang")
-    found = chosen.limit(2 * config.per_lang * len(counts)).toArrow()
+    # half as many again as are wanted, so that ranking them by hash looks at few
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(1, (1.5 * config.per_lang + 100) / r.n) * (1 << 30)))])
+    a, b = digest("doc_id", "text")
+    chosen = rows.withColumns({"a": a, "b": b}).where(F.shiftrightunsigned("a", 34) < share[F.col("lang")])
+    at = F.pmod(F.col("b"), F.greatest(F.char_length("text") - config.window, F.lit(0)) + 1) + 1
+    chosen = chosen.select("lang", "a", "b", "doc_id", F.substring("text", at.cast("int"), F.lit(config.window)).alias("text"))
+    chosen = chosen.groupBy("lang", "a", "b").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    # in order of the unsigned hash, of which the filter took the least
+    ranked = chosen.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("a", 1), "a", "b")))
+    found = ranked.where(F.col("place") <= config.per_lang).select("r.doc_id", "r.text", "lang").toArrow()
     return list(zip(*[found.column(i).to_pylist() for i in range(3)]))
 
 

@@ -318,6 +318,59 @@ def test_language_never_learns_from_held_out_rows(spark):
     assert {r[0] for r in lang_id.sample(frame(spark, rows))} == {i for i in range(100) if zlib.crc32(str(i).encode()) % 5}
 
 
+def test_language_scores_equal_a_plain_network():
+    """Embed every subword, average, softmax: subword by subword, without the folded table."""
+    config = lang_id.Config(buckets=1 << 10, dims=4, epochs=2)
+    rows = [(i, f"{w} {w}a{w} more {w}", w) for i, w in enumerate(["ab", "xy", "élan"] * 30)]
+    model = lang_id.train(rows, config)
+    rng = np.random.Generator(np.random.PCG64(8))
+    bags, langs = [], sorted({r[2] for r in rows})
+
+    def buckets(text):
+        data, out = lang_id.clean(text), []
+        for n in (2, 3, 4):
+            for at in range(len(data) - n + 1):
+                code = int.from_bytes(data[at : at + n], "little")
+                out.append(((code + n) * 0x9E3779B1 & 0xFFFFFFFF) >> (33 - config.buckets.bit_length()))
+        return out
+
+    def bag(text):
+        found = Counter(buckets(text))
+        ids = sorted(found)
+        return np.array(ids), np.array([found[i] for i in ids], np.float64) / sum(found.values())
+
+    import zlib
+
+    for i, text, lang in sorted(rows):
+        learns, words = zlib.crc32(str(i).encode()) % 5 != 1, text.split()
+        n = int(rng.integers(1, 13))
+        at = int(rng.integers(0, max(1, len(words) - n)))
+        if learns:
+            bags += [(bag(x), langs.index(lang)) for x in (text, " ".join(words[at : at + n]))]
+    emb, out, bias = lang_id.layers([((i, w.astype(np.float32)), y) for (i, w), y in bags], len(langs), config, rng)
+    for text in ["ab aba", "xyx", "Élan more", "b", "ab xy élan"]:
+        mean = np.mean([emb[i] for i in buckets(text)], axis=0)
+        z = mean @ out + bias
+        heats = [np.exp(z * t) / np.exp(z * t).sum() for t in 2.0 ** np.arange(-6, 3, 0.25)]
+        best, top = model.scores([text])
+        assert any(p.argmax() == best[0] and abs(p.max() - top[0]) < 1e-4 for p in heats)
+
+
+def test_the_same_table_gives_the_same_model(spark):
+    """Whatever the order and the parts of the rows, also with ids that repeat often, and with more languages than are common."""
+    rng = random.Random(3)
+    rows = [(i % 40, f"word{i % 7} {'ab' * (i % 5)} text", f"l{i % 3}", None, None) for i in range(900)] + [(5, "same text", "l0", None, None)] * 500
+    rows += [(1000 + i, f"only {i}", f"rare{i}", None, None) for i in range(60)]
+    config, got = lang_id.Config(per_lang=20, buckets=1 << 8, dims=2, epochs=1), []
+    for parts in (1, 5):
+        rng.shuffle(rows)
+        chosen = sorted(lang_id.sample(frame(spark, rows).repartition(parts), config))
+        got.append((chosen, lang_id.train(chosen, config)))
+    assert got[0][0] == got[1][0] and (got[0][1].table == got[1][1].table).all()
+    assert max(Counter(r[2] for r in got[0][0]).values()) <= 20 and len(set(got[0][0])) == len(got[0][0])
+    assert sum(lang.startswith("rare") for lang in got[0][1].langs) > 35
+
+
 needs_model = pytest.mark.skipif(not os.path.exists(sampled_pieces.MODEL), reason="no vocabulary file here")
 
 
