@@ -12,8 +12,11 @@ from fathom.plans.tables import Scratch, checked  # noqa: F401
 
 #: The six ASCII white-space characters, as the contracts name them.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Most rows of an Arrow batch.
-BATCH = 1000
+#: Most rows and bytes of an Arrow batch; a longer text is a batch of its own.
+BATCH, BATCH_BYTES = 1000, 4 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What sessions had set before arrow_docs().
+_before: dict[SparkSession, dict[str, str]] = {}
 
 
 def take(df: DataFrame, *names: str) -> DataFrame:
@@ -41,8 +44,18 @@ def release() -> None:
 
 
 def arrow_docs(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of at most BATCH rows from here on in its session: the default of 10,000 whole texts is more than a small executor's share."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH:
-        conf.set(name, BATCH)
+    """df, with Arrow batches of at most BATCH rows and BATCH_BYTES from here on in its session: the default of 10,000 whole texts or 64 MB is more than a small executor's share. Plans read these settings when they run, so they hold until restore_batches()."""
+    conf = df.sparkSession.conf
+    held = {_ROWS: conf.get(_ROWS), _BYTES: conf.get(_BYTES, None)}
+    for name, most in ((_ROWS, BATCH), (_BYTES, BATCH_BYTES)):
+        if held[name] is not None and not 0 < int(held[name].rstrip("b")) <= most:
+            _before.setdefault(df.sparkSession, held)
+            conf.set(name, most)
     return df
+
+
+def restore_batches(spark: SparkSession) -> None:
+    """The session's own sizes of Arrow batches; for when all that arrow_docs() was called for has been written."""
+    for name, value in _before.pop(spark, {}).items():
+        if value is not None:
+            spark.conf.set(name, value)

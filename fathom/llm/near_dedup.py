@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from fathom.plans.graph import components
 
-from .common import Scratch, arrow_docs, checked, release, take
+from .common import Scratch, arrow_docs, checked, release, restore_batches, take
 
 WORDS, BANDS, ROWS, UNIVERSE = 5, 32, 4, 1 << 20
 K = BANDS * ROWS
@@ -216,7 +216,9 @@ def _unmet(docs: DataFrame, members: DataFrame, roots: DataFrame, pairs: DataFra
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op2"))
+    out = near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op2"))
+    restore_batches(spark)  # what is left to run reads written tables alone
+    return out
 
 
 SQL = r"""
