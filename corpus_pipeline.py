@@ -1,4 +1,14 @@
-"""A corpus pipeline: the stages read documents one after another, each from the table its predecessor wrote."""
+"""A corpus pipeline: the stages read documents one after another, each from the table its predecessor wrote.
+
+Defined cases, stage by stage: a text that is null, or has no letters, has no
+known language and goes with the first stage. Where a later stage meets one, it
+stays: it has no lines, no near duplicates, no passages, and one empty
+segmentation. A null doc_id is an id of its own, a null source a source of its
+own, a null lang isn't learned. Rows repeated in all columns are pages each of
+their source, and near_duplicates leaves one of them. Texts are processed whole,
+whatever their length. Empty tables give empty tables. Columns beside those of
+documents are left behind, also where their names differ by case alone.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import decontaminate, lang_id, line_dedup, near_dedup, sampled_pieces
-from fathom.llm.common import Scratch, checked, digest, take
+from fathom.llm.common import Scratch, checked, digest, restore_batches, take
+from fathom.plans.tables import sweep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -50,7 +61,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's sampled segmentations."""
-    return sampled_pieces.sampled_pieces(docs)
+    return sampled_pieces.sampled_pieces(take(docs, *COLUMNS))
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("pieces", pieces)]
@@ -59,7 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Each stage's tables are deleted when the next has been written; the last one's stay for the caller."""
+    scratch, docs, before = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
+        made = len(Scratch.made)
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        sweep(made)
+        if before:
+            scratch.drop(before)
+        before = name
+    restore_batches(spark)
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; unset, as in tests, a temporary one becomes the checkpoint folder."""
+    """The folder that all executors share, from spark.checkpoint.dir; unset, as in tests, a temporary one becomes the checkpoint folder, on a local master only."""
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
         set_to = spark.sparkContext.getCheckpointDir()
         if not set_to:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathom-"))
             set_to = spark.sparkContext.getCheckpointDir()
     return set_to.rstrip("/")
@@ -45,9 +48,9 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sweep() -> None:
-    """Delete all tables this process has made; for when its results are written."""
-    while Scratch.made:
+def sweep(since: int = 0) -> None:
+    """Delete all tables this process has made, or those of the runs after the first so many; for when their results are written."""
+    while len(Scratch.made) > since:
         Scratch.made.pop().drop()
 
 
