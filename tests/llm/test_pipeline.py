@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as p
 
-from .helpers import DOCS
+from .helpers import DOCS, clashing
 from .test_models import brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +71,46 @@ def test_text_copied_over_a_source_survives_once(spark):
     assert all(got[2000 + i] == f"own{i} words here that no other has" for i in range(4))
     left = {r.doc_id: r.text for r in p.near_duplicates(spark, docs, SF).collect()}
     assert set(left) == {i for i, *_ in plain} | {1000} | {2000 + i for i in range(4)} and left[1000] == copied
+
+
+def test_every_stage_stands_the_defined_cases(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and clashing names, in each stage's own input."""
+    plain = lambda k, n=40: " ".join(f"the{k}w{j}" for j in range(n))
+    learned = [(i, f"the cat and the hat {i}", "en", "s0", 1) for i in range(80)] + [(100 + i, f"der hund und die katze {i}", "de", "s0", 1) for i in range(80)]
+    odd = [(None, None, None, None, None), (900, None, "en", "s0", None), (901, "", None, "s1", 0), (902, " \n\t", "en", None, None), (903, "123 !?", "en", "s1", 5)]
+    long = [(910, "the cat and the hat " * 20_000, "en", None, None), (911, "katze" * 60_000, "de", "s1", 3)]
+    same = [(920, plain("x"), "en", "s1", 7)] * 3 + [(None, plain("y"), "en", None, None)] * 2 + [(None, plain("y"), None, None, None)]
+    rows = learned + odd + long + same
+    docs = clashing(spark.createDataFrame(rows, DOCS))
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / name))
+        got = spark.read.parquet(str(tmp_path / name)).collect()
+        texts = [r.text for r in got] if name != "pieces" else None
+        if name != "pieces":
+            assert out.columns == list(p.COLUMNS)
+        if name == "language":
+            assert {r.doc_id for r in got} >= {r[0] for r in learned} | {910, 920} and not {900, 901, 902, 903} & {r.doc_id for r in got}
+            assert texts.count(plain("x")) in (0, 3)
+        elif name in ("lines", "benchmark"):
+            assert len(got) == len(rows) and sorted((r.doc_id or 0, r.text or "-") for r in got) == sorted((r[0] or 0, r[1] or "-") for r in rows)
+        elif name == "near_duplicates":
+            assert texts.count(plain("x")) == texts.count(plain("y")) == 1 and sum(not (t or "").split() for t in texts) == 4
+            assert {910, 911} <= {r.doc_id for r in got}
+        else:
+            assert all(r.exact for r in got) and sum(r.sample == 0 for r in got) == len(rows)
+            assert {len(r.ids) for r in got if r.doc_id in (900, 901)} == {0}
+
+
+def test_a_run_leaves_its_result_alone_and_its_session_as_it_was(spark):
+    from fathom.llm.common import Scratch
+    from fathom.plans.tables import sweep
+
+    sweep()
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    spark.conf.unset(names[0])
+    spark.conf.unset(names[1])
+    before = [spark.conf.get(n) for n in names]
+    out = p.run(spark, SF)
+    assert len(Scratch.made) == 1 and sorted(os.listdir(Scratch.made[0].root.removeprefix("file://"))) == ["pieces"]
+    assert [spark.conf.get(n) for n in names] == before and out.count() > 0
