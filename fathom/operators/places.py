@@ -15,8 +15,8 @@ def home(fixes: DataFrame, clean: Column, least: int) -> DataFrame:
     return fixes.groupBy("mmsi").agg(of("lat"), of("lon"))
 
 
-def spread(fixes: DataFrame, homes: DataFrame, share: float) -> DataFrame:
-    """mmsi, n, q_lat, q_lon (the quantile of the absolute distance from home in degrees), far_km, r2 (the largest eigenvalue's share of the positions' variance; null below 3 fixes or without spread)."""
+def spread(fixes: DataFrame, homes: DataFrame, share: float, least: int) -> DataFrame:
+    """mmsi, n, q_lat, q_lon (the quantile of the absolute distance from home in degrees), far_km, r2 (the largest eigenvalue's share of the positions' variance; null below `least` fixes or without spread)."""
     at = fixes.join(homes, "mmsi")
     far = haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("lat"), F.col("lon"))
     per = at.groupBy("mmsi").agg(
@@ -25,4 +25,4 @@ def spread(fixes: DataFrame, homes: DataFrame, share: float) -> DataFrame:
     )
     total = F.col("vx") + F.col("vy")
     top = total / 2 + F.sqrt(F.pow((F.col("vx") - F.col("vy")) / 2, 2) + F.pow("cxy", 2))
-    return per.withColumn("r2", F.when((F.col("n") >= 3) & (total > 0), top / total)).drop("vx", "vy", "cxy")
+    return per.withColumn("r2", F.when((F.col("n") >= least) & (total > 0), top / total)).drop("vx", "vy", "cxy")

@@ -26,7 +26,9 @@ def trailing(flagged: DataFrame, width: int) -> DataFrame:
 
 
 def run_stats(found: DataFrame, fixes: DataFrame, flags: dict[str, Column]) -> DataFrame:
-    """found with n_fixes and per flag the share of the run's fixes that have it, both ends included."""
-    named = fixes.select(F.col("mmsi").alias("m"), "t", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()])
-    inside = found.join(named, (F.col("mmsi") == F.col("m")) & F.floor(F.col("t") / 60).between(F.col("first"), F.col("last")))
-    return inside.groupBy("mmsi", "run", "first", "last").agg(F.count(F.lit(1)).alias("n_fixes"), *[F.avg(F.col(k).cast("double")).alias(f"{k}_share") for k in flags])
+    """found with n_fixes and per flag the share of the run's fixes that have it, both ends included. A vessel's runs don't overlap, so one pass in the order of time gives each fix the run that began last."""
+    named = fixes.select("mmsi", F.floor(F.col("t") / 60).alias("minute"), F.lit(None).cast("struct<run: bigint, first: bigint, last: bigint>").alias("r"), *[F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()])
+    opens = found.select("mmsi", F.col("first").alias("minute"), F.struct(*[F.col(c).cast("long").alias(c) for c in ("run", "first", "last")]).alias("r"), *[F.lit(None).cast("boolean").alias(k) for k in flags])
+    w = Window.partitionBy("mmsi").orderBy("minute", F.col("r").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = opens.unionByName(named).withColumn("own", F.last("r", ignorenulls=True).over(w)).where("r IS NULL AND minute <= own.last")
+    return inside.select("mmsi", "own.*", *flags).groupBy("mmsi", "run", "first", "last").agg(F.count(F.lit(1)).alias("n_fixes"), *[F.avg(F.col(k).cast("double")).alias(f"{k}_share") for k in flags])

@@ -33,17 +33,17 @@ numbered AS (SELECT *, (sum(o) OVER (PARTITION BY mmsi ORDER BY minute))::BIGINT
 runs AS MATERIALIZED (SELECT mmsi, run, min(minute) AS first, max(minute) AS last, count(*) AS n_minutes FROM numbered GROUP BY ALL),
 line AS MATERIALIZED (SELECT slot, count(DISTINCT mmsi) AS active FROM (SELECT mmsi, unnest(generate_series(first, last)) AS slot FROM runs) AS u GROUP BY slot),
 ends AS (SELECT r.mmsi, run, max(t) FILTER (WHERE t // 60 < first) AS ta, min(t) FILTER (WHERE t // 60 > last) AS tb FROM runs r JOIN fixes f ON f.mmsi = r.mmsi GROUP BY ALL),
-lines AS MATERIALIZED (SELECT e.mmsi * 1000 + run AS line, e.mmsi, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM ends e JOIN fixes a ON a.mmsi = e.mmsi AND a.t = ta JOIN fixes b ON b.mmsi = e.mmsi AND b.t = tb),
+lines AS MATERIALIZED (SELECT e.mmsi * 1000000 + run AS line, e.mmsi, run, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM ends e JOIN fixes a ON a.mmsi = e.mmsi AND a.t = ta JOIN fixes b ON b.mmsi = e.mmsi AND b.t = tb),
 dets AS (SELECT p.line AS line1, q.line AS line2, p.mmsi AS mmsi1, q.mmsi AS mmsi2, p.lat1 AS ay, p.lon1 AS ax, p.lat2 AS by_, p.lon2 AS bx, q.lat1 AS cy, q.lon1 AS cx, q.lat2 AS dy, q.lon2 AS dx,
          (p.lon2 - p.lon1) * (q.lat2 - q.lat1) - (p.lat2 - p.lat1) * (q.lon2 - q.lon1) AS det FROM lines p JOIN lines q ON p.line < q.line AND p.mmsi <> q.mmsi),
 params AS (SELECT *, ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det AS pt, ((cx - ax) * (by_ - ay) - (cy - ay) * (bx - ax)) / det AS pu FROM dets WHERE abs(det) >= 1e-12),
 met AS MATERIALIZED (SELECT line1, line2, mmsi1, mmsi2, ay + pt * (by_ - ay) AS lat, ax + pt * (bx - ax) AS lon FROM params WHERE pt BETWEEN 0 AND 1 AND pu BETWEEN 0 AND 1),
-points AS MATERIALIZED (SELECT (line1 - 200000000000) * 1000000 + (line2 // 1000 - 200000000) AS point, lat, lon FROM met),
+points AS MATERIALIZED (SELECT line1 || ':' || line2 AS point, lat, lon FROM met),
 near AS MATERIALIZED (SELECT a.point AS u, b.point AS v FROM points a JOIN points b ON {hav("a.lat", "a.lon", "b.lat", "b.lon")} <= {EPS_KM}),
 core AS MATERIALIZED (SELECT u FROM near GROUP BY u HAVING count(*) >= {LEAST}),
 reached AS (SELECT u AS a, u AS b FROM core UNION SELECT a, v FROM reached JOIN near ON u = b JOIN (SELECT u AS w FROM core) AS c ON v = w),
 cores AS (SELECT a AS point, min(b) AS cluster FROM reached GROUP BY a),
-labels AS MATERIALIZED (SELECT p.point, p.lat, p.lon, coalesce(min(c.cluster) FILTER (WHERE c.point = p.point), min(c.cluster), -1) AS cluster FROM points p JOIN near n ON n.u = p.point LEFT JOIN cores c ON c.point = n.v GROUP BY ALL),
+labels AS MATERIALIZED (SELECT p.point, p.lat, p.lon, coalesce(min(c.cluster) FILTER (WHERE c.point = p.point), min(c.cluster), 'noise') AS cluster FROM points p JOIN near n ON n.u = p.point LEFT JOIN cores c ON c.point = n.v GROUP BY ALL),
 homes AS MATERIALIZED (SELECT mmsi, CASE WHEN count(*) FILTER (WHERE calm) >= 3 THEN median(lat) FILTER (WHERE calm) ELSE median(lat) END AS home_lat,
           CASE WHEN count(*) FILTER (WHERE calm) >= 3 THEN median(lon) FILTER (WHERE calm) ELSE median(lon) END AS home_lon FROM (SELECT *, coalesce(knots <= {KNOTS}, FALSE) AS calm FROM moves) AS m GROUP BY mmsi)
 """
@@ -66,8 +66,9 @@ def _lines(spark, sf):
 
 
 def _points(spark, sf, scratch):
+    """The crossings, named by both lines."""
     met = scratch.save(zones.crossings(_lines(spark, sf), CELL), "met")
-    return met.select(((F.col("line1") - 200000000000) * 1000000 + F.floor(F.col("line2") / 1000) - 200000000).alias("point"), "lat", "lon")
+    return met.select(F.concat_ws(":", "line1", "line2").alias("point"), "lat", "lon")
 
 
 def _labels(spark, sf):
@@ -151,7 +152,7 @@ def vessel_homes(spark, sf):
 
 def vessel_spread(spark, sf):
     moves = _moves(spark, sf)
-    out = places.spread(moves.where(_fast()), places.home(moves, F.col("knots") <= KNOTS, 3), 0.9)
+    out = places.spread(moves.where(_fast()), places.home(moves, F.col("knots") <= KNOTS, 3), 0.9, 3)
     return _rounded(out, q_lat=6, q_lon=6, far_km=3, r2=6)
 
 
@@ -188,15 +189,15 @@ def line_crossings(spark, sf):
 
 
 def zone_labels(spark, sf):
-    return _labels(spark, sf).select("point", "cluster")
+    return _labels(spark, sf).select("point", F.coalesce("cluster", F.lit("noise")).alias("cluster"))
 
 
 def zone_centres(spark, sf):
-    return _rounded(zones.centre(_labels(spark, sf).where("cluster >= 0"), "cluster"), lat=6, lon=6)
+    return _rounded(zones.centre(_labels(spark, sf).where("cluster IS NOT NULL"), "cluster"), lat=6, lon=6)
 
 
 def zone_points(spark, sf):
-    return zones.without_outliers(_labels(spark, sf).where("cluster >= 0"), "cluster", 2.0, 3).select("point", "cluster")
+    return zones.without_outliers(_labels(spark, sf).where("cluster IS NOT NULL"), "cluster", 2.0, 3).select("point", "cluster")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -237,10 +238,10 @@ SQL = {
     "active_days": "SELECT slot, count(DISTINCT mmsi) AS active FROM (SELECT mmsi, unnest(generate_series(first // 1440, last // 1440)) AS slot FROM runs) AS u GROUP BY slot",
     "local_peaks": f"SELECT k, slot, active, coalesce(slot - lag(slot) OVER (PARTITION BY k ORDER BY slot), -1) AS gap FROM (SELECT *, lag(active) OVER w AS b, lead(active) OVER w AS f, max(active) OVER (PARTITION BY k) AS most FROM ({_TWO}) AS s WINDOW w AS (PARTITION BY k ORDER BY slot)) AS n WHERE active >= b AND active >= f AND active >= 0.5 * most",
     "hourly_variation": f"SELECT k, count(*) AS n_units, round(CASE WHEN count(*) > 1 THEN stddev_pop(most) / avg(most) END, 6) AS cv FROM (SELECT k, slot // 15 AS u, max(active) AS most FROM ({_TWO}) AS s GROUP BY ALL) AS m GROUP BY k",
-    "jump_lines": "SELECT line, mmsi, round(lat1, 6) AS lat1, round(lon1, 6) AS lon1, round(lat2, 6) AS lat2, round(lon2, 6) AS lon2 FROM lines",
+    "jump_lines": "SELECT line, mmsi, run, round(lat1, 6) AS lat1, round(lon1, 6) AS lon1, round(lat2, 6) AS lat2, round(lon2, 6) AS lon2 FROM lines",
     "line_crossings": "SELECT line1, line2, mmsi1, mmsi2, round(lat, 6) AS lat, round(lon, 6) AS lon FROM met",
     "zone_labels": "SELECT point, cluster FROM labels",
-    "zone_centres": "SELECT cluster, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM labels WHERE cluster >= 0 GROUP BY cluster",
-    "zone_points": f"""SELECT point, cluster FROM (SELECT *, avg(d) OVER (PARTITION BY cluster) AS m FROM (SELECT l.*, n, {hav('c.lat', 'c.lon', 'l.lat', 'l.lon')} AS d FROM labels l JOIN (SELECT cluster, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon FROM labels GROUP BY cluster) AS c USING (cluster) WHERE cluster >= 0) AS s) AS t WHERE n < 3 OR d <= 2 * m""",
+    "zone_centres": "SELECT cluster, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM labels WHERE cluster <> 'noise' GROUP BY cluster",
+    "zone_points": f"""SELECT point, cluster FROM (SELECT *, avg(d) OVER (PARTITION BY cluster) AS m FROM (SELECT l.*, n, {hav('c.lat', 'c.lon', 'l.lat', 'l.lon')} AS d FROM labels l JOIN (SELECT cluster, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon FROM labels GROUP BY cluster) AS c USING (cluster) WHERE cluster <> 'noise') AS s) AS t WHERE n < 3 OR d <= 2 * m""",
 }
 ORACLE_SQL = {k: f"{BASE}, {v[0]}\n{v[1]}" if isinstance(v, tuple) else f"{BASE}\n{v}" for k, v in SQL.items()}

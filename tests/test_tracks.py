@@ -135,7 +135,7 @@ def test_spread_and_home(spark):
     homes = places.home(df, F.col("lat") > 0, 3)
     up = np.array([r[3] for r in rows[:50] if r[3] > 0])
     assert abs({r.mmsi: r.home_lat for r in homes.collect()}[1] - np.median(up)) < 1e-12
-    got = {r.mmsi: r for r in places.spread(df, homes, 0.9).collect()}
+    got = {r.mmsi: r for r in places.spread(df, homes, 0.9, 3).collect()}
     lat, lon = (np.array([r[k] for r in rows[:50]]) for k in (3, 4))
     eig = np.linalg.eigvalsh(np.cov(lon, lat))
     assert abs(got[1].r2 - eig[-1] / eig.sum()) < 1e-9 and got[2].r2 is None
@@ -167,7 +167,7 @@ def dbscan_loop(points, eps, least):
                     if q in core and q not in label:
                         label[q] = p
                         stack.append(q)
-    return {p: label.get(p, min([label[q] for q in near[p] if q in core], default=-1)) for p in points}
+    return {p: label.get(p, min([label[q] for q in near[p] if q in core], default=None)) for p in points}
 
 
 @pytest.mark.parametrize("seed", [0, 1])
@@ -185,6 +185,77 @@ def test_dbscan_matches_a_loop(spark, seed):
     assert zones.dbscan(df.limit(0), 15.0, 5, Scratch(spark, "t")).count() == 0
 
 
+def test_dbscan_of_heaps_of_unequal_points(spark):
+    """Full cubes, facing edges and a gap just wider and narrower than eps; the pairs of a heap are never written."""
+    rng = random.Random(7)
+    heap = lambda lat, n: [(lat + rng.uniform(0, 0.05), 10 + rng.uniform(0, 0.05)) for _ in range(n)]
+    spots = heap(0.0, 700) + heap(0.14, 700) + heap(0.6, 300) + [(0.6 + 0.05 + 0.17, 10.02), (3.0, 3.0)]
+    points = dict(enumerate(spots))
+    scratch = Scratch(spark, "t")
+    df = spark.createDataFrame([(f"p{k:04d}", *v) for k, v in points.items()], "point string, lat double, lon double")
+    for eps in (9.0, 11.0, 20.0):
+        got = {int(r.point[1:]): None if r.cluster is None else int(r.cluster[1:]) for r in zones.dbscan(df, eps, 5, scratch).collect()}
+        assert got == dbscan_loop(points, eps, 5)
+        assert spark.read.parquet(f"{scratch.root}/facing").count() < 20 * len(points)
+
+
+def test_lines_go_into_passed_cells_alone(spark):
+    rng = random.Random(11)
+    rows = [(i, i, *[rng.uniform(-40, 40) for _ in range(4)]) for i in range(30)] + [(90, 90, 0.0, 1.0, 30.0, 1.0), (91, 91, 5.0, -3.0, 5.0, 60.0), (92, 92, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "line long, mmsi long, lat1 double, lon1 double, lat2 double, lon2 double")
+    cells = defaultdict(set)
+    for r in zones.passed_cells(df, 0.25).collect():
+        cells[r.line].add((r.cy, r.cx))
+    for line, _, la1, lo1, la2, lo2 in rows:
+        # a line along the border of two rows or columns is in both
+        assert len(cells[line]) <= (1 + (line >= 90)) * (abs(la2 - la1) / 0.25 + abs(lo2 - lo1) / 0.25) + 6
+        for k in range(2001):
+            lat, lon = la1 + (la2 - la1) * k / 2000, lo1 + (lo2 - lo1) * k / 2000
+            assert (math.floor(lat / 0.25), math.floor(lon / 0.25)) in cells[line]
+
+
+def test_lines_of_many_runs_keep_their_own_ids(spark):
+    found = spark.createDataFrame([(5, 1001, 10, 11), (5, 1, 2, 3), (6, 1, 10, 11), (7, 0, 0, 1)], "mmsi long, run long, first long, last long")
+    rows = [(m, i, 60 * i, float(i), float(m)) for m in (5, 6, 7) for i in range(20)]
+    got = {(r.mmsi, r.run): (r.line, r.lat1, r.lat2) for r in zones.jump_lines(found, fixes(spark, rows)).collect()}
+    assert set(got) == {(5, 1001), (5, 1), (6, 1)} and len({x[0] for x in got.values()}) == 3
+    assert got[5, 1001][1:] == (9.0, 12.0) and got[5, 1][1:] == (1.0, 4.0)
+    with pytest.raises(Exception, match="run's number"):
+        zones.jump_lines(spark.createDataFrame([(5, 1_000_000, 10, 11)], found.schema), fixes(spark, rows)).collect()
+
+
+def test_run_statistics_match_a_loop(spark):
+    rng = random.Random(12)
+    spans = {m: [(k + 1, 50 * k + rng.randint(0, 9), 50 * k + rng.randint(10, 30)) for k in range(8)] for m in range(4)}
+    rows = [(m, i, rng.randint(0, 26_000), 0.0, 0.0, float(i % 2) if i % 5 else None) for m in range(4) for i in range(300)]
+    found = spark.createDataFrame([(m, *x) for m, xs in spans.items() for x in xs], "mmsi long, run long, first long, last long")
+    got = {(r.mmsi, r.run): (r.first, r.last, r.n_fixes, r.odd_share) for r in runs.run_stats(found, fixes(spark, rows), {"odd": F.col("sog") > 0}).collect()}
+    want = {}
+    for m, xs in spans.items():
+        for run, a, b in xs:
+            own = [r[5] or 0 for r in rows if r[0] == m and a <= r[2] // 60 <= b]
+            if own:
+                want[m, run] = (a, b, len(own), sum(own) / len(own))
+    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in want.items()} and all(abs(got[k][3] - v[3]) < 1e-12 for k, v in want.items())
+
+
+def test_kalman_goes_on_over_batches(spark):
+    """Segments that are cut by Arrow batches, and many of them in one, against the same filter on whole segments."""
+    rng, rows = random.Random(4), []
+    for m in range(30):
+        t = 0
+        for i in range(rng.choice([1, 2, 5, 60])):
+            t += rng.choice([30, 60, 9000])
+            rows.append((m, i, t, 10 + rng.gauss(0, 1e-2), 20 + rng.gauss(0, 1e-2)))
+    df = motion.segments(fixes(spark, rows), 600)
+    config, got = motion.Kalman(1e-6, 1e-5, 1.0), []
+    for size in (10_000, 7, 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got.append(rows_of(motion.kalman(df, config).select("mmsi", "i", "seg", "resid_km")))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+
+
 def test_crossings_match_all_pairs(spark):
     rng = random.Random(4)
     lines = [(i, i % 15, *[rng.uniform(-3, 3) for _ in range(4)]) for i in range(60)] + [(90, 90, 0.0, 0.0, 1.0, 1.0), (91, 91, 0.0, 1.0, 1.0, 2.0)]
