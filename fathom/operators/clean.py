@@ -69,3 +69,31 @@ def counters(fixes: DataFrame, null_island: float) -> DataFrame:
     """One row: rows, and how many are valid."""
     ok = valid_position(F.col("lat"), F.col("lon"), null_island)
     return fixes.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_valid"), F.count_if(~ok).alias("n_invalid"))
+
+
+def fault(mmsi: Column, lat: Column, lon: Column, null_island: float) -> Column:
+    """What is wrong with a report, the first of: identity, position missing, out of range, null island; null if nothing is."""
+    bad = F.when(~valid_mmsi(mmsi), "identity").when(F.coalesce(lat.isNull() | F.isnan(lat), F.lit(True)) | F.coalesce(lon.isNull() | F.isnan(lon), F.lit(True)), "position missing")
+    return bad.when(~lat.between(-90, 90) | ~lon.between(-180, 180), "out of range").when(~valid_position(lat, lon, null_island), "null island")
+
+
+def tracks(reports: DataFrame, null_island: float, least: int, reach_km: float) -> DataFrame:
+    """Valid reports, each time and position of a vessel once, of vessels that have at least `least` valid reports before that and get reach_km away from their first; i is the place in time."""
+    ok = reports.where(valid_mmsi(F.col("mmsi")) & valid_position(F.col("lat"), F.col("lon"), null_island))
+    ok = ok.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("mmsi"))).where(F.col("_n") >= least).drop("_n")
+    once = first_of(ok, [F.col(c) for c in ("mmsi", "t", "lat", "lon")], ["i"])
+    w = Window.partitionBy("mmsi").orderBy("t", "i")
+    away = haversine_km(F.first("lat").over(w), F.first("lon").over(w), F.col("lat"), F.col("lon"))
+    far = F.max("_d").over(Window.partitionBy("mmsi"))
+    placed = once.withColumn("_d", away).withColumn("_i", F.row_number().over(w) - 1).withColumn("_far", far).where(F.col("_far") >= reach_km)
+    return placed.withColumn("i", F.col("_i").cast("long")).drop("_d", "_i", "_far")
+
+
+def ranked(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows in this order, with place from 1 on; a top-k, so no more than k rows of a partition move."""
+    return rows.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def iso(t: Column) -> Column:
+    """Epoch seconds as ISO 8601 text in UTC."""
+    return F.concat(F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))

@@ -26,3 +26,8 @@ def spread(fixes: DataFrame, homes: DataFrame, share: float, least: int) -> Data
     total = F.col("vx") + F.col("vy")
     top = total / 2 + F.sqrt(F.pow((F.col("vx") - F.col("vy")) / 2, 2) + F.pow("cxy", 2))
     return per.withColumn("r2", F.when((F.col("n") >= least) & (total > 0), top / total)).drop("vx", "vy", "cxy")
+
+
+def median_of_most(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """One row: n groups, and the median of their largest values."""
+    return rows.groupBy(by).agg(F.max(value).alias("most")).agg(F.count("most").alias("n"), F.median("most").alias("median"))

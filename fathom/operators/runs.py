@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,3 +34,24 @@ def run_stats(found: DataFrame, fixes: DataFrame, flags: dict[str, Column]) -> D
     w = Window.partitionBy("mmsi").orderBy("minute", F.col("r").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     inside = opens.unionByName(named).withColumn("own", F.last("r", ignorenulls=True).over(w)).where("r IS NULL AND minute <= own.last")
     return inside.select("mmsi", "own.*", *flags).groupBy("mmsi", "run", "first", "last").agg(F.count(F.lit(1)).alias("n_fixes"), *[F.avg(F.col(k).cast("double")).alias(f"{k}_share") for k in flags])
+
+
+def quorum(flagged: DataFrame, first: DataFrame, width: int, share: float) -> DataFrame:
+    """The rows of trailing() whose window lies wholly within the vessel's track, of which first(mmsi, first) is the first minute, and has at least the share of its minutes flagged."""
+    near = trailing(flagged, width).join(first, "mmsi")
+    return near.where((F.col("minute") - F.col("first") >= width - 1) & (F.col("within") >= math.ceil(share * width))).select("mmsi", "minute", "within")
+
+
+def any_of(*flags: Column) -> Column:
+    """Whether any flag holds; a null flag doesn't."""
+    out = F.lit(False)
+    for flag in flags:
+        out = out | F.coalesce(flag, F.lit(False))
+    return out
+
+
+def counted_names(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by, n, counts: how often each name occurs in a group, as text `a:1,b:2` in the order of names; null names don't count."""
+    per = rows.where(F.col(name).isNotNull()).groupBy(*by, name).agg(F.count(F.lit(1)).alias("n"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, "n"))), lambda x: F.concat_ws(":", x[name], x["n"])), ",")
+    return per.groupBy(*by).agg(F.sum("n").alias("n"), said.alias("counts"))

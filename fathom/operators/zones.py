@@ -143,3 +143,13 @@ def without_outliers(points: DataFrame, by: str, times: float, least: int) -> Da
     mean = away.groupBy("_by").agg(F.avg("_d").alias("_m")).withColumnRenamed("_by", "_g")
     kept: Column = (F.col("_n") < least) | (F.col("_d") <= times * F.col("_m"))
     return away.join(mean, F.col(by) == F.col("_g")).where(kept).select(*points.columns)
+
+
+def members(points: DataFrame, by: str) -> DataFrame:
+    """by, mmsi: the vessels whose lines cross in each group of points(mmsi1, mmsi2), each once."""
+    return points.select(by, F.explode(F.array("mmsi1", "mmsi2")).alias("mmsi")).distinct()
+
+
+def not_among(vessels: DataFrame, others: DataFrame) -> DataFrame:
+    """The vessels, each once, that others(mmsi) doesn't have."""
+    return vessels.select("mmsi").distinct().join(others.select("mmsi"), "mmsi", "left_anti")

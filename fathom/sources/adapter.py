@@ -20,3 +20,19 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id")
     out = spark.sql(FIXES_SQL, events=events)
     return out.selectExpr("CAST(mmsi AS BIGINT) AS mmsi", "CAST(i AS BIGINT) AS i", "CAST(t AS BIGINT) AS t", "lat", "lon", "sog")
+
+
+#: Reports as they arrive: fixes, and beside every tenth of them one that is wrong in one of several ways, one that repeats it, and one of a vessel at the antimeridian.
+REPORTS_SQL = """
+SELECT mmsi, i, t, lat, lon, sog FROM ({fixes}) AS f0
+UNION ALL SELECT CASE WHEN i % 10 = 4 THEN mmsi - 199000000 WHEN i % 10 = 6 THEN mmsi + 100000000 ELSE mmsi END AS mmsi, i + 1000000 AS i, t,
+       CASE WHEN i % 10 = 1 THEN 91e0 WHEN i % 10 = 2 THEN NULL WHEN i % 10 = 3 THEN 1e-3 ELSE lat END AS lat,
+       CASE WHEN i % 10 = 1 THEN 181e0 WHEN i % 10 = 3 THEN -1e-3 WHEN i % 10 <> 6 THEN lon WHEN lon + 1675e-1 > 180 THEN lon + 1675e-1 - 360 ELSE lon + 1675e-1 END AS lon, sog
+FROM ({fixes}) AS f1 WHERE i % 10 BETWEEN 1 AND 6
+"""
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id")
+    out = spark.sql(REPORTS_SQL.replace("{fixes}", FIXES_SQL), events=events)
+    return out.selectExpr("CAST(mmsi AS BIGINT) AS mmsi", "CAST(i AS BIGINT) AS i", "CAST(t AS BIGINT) AS t", "lat", "lon", "sog")

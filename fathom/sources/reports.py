@@ -7,6 +7,7 @@ the aliases of the public US and Danish layouts, in any order of columns.
 
 from __future__ import annotations
 
+import codecs
 import io
 import re
 import zipfile
@@ -17,6 +18,8 @@ import pyarrow.csv
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathom.operators.clean import iso, valid_position
+
 #: The column names of the public layouts.
 ALIASES = {
     "mmsi": ("mmsi",),
@@ -34,9 +37,9 @@ def header_name(raw: str) -> str:
 
 
 def time_of(raw: Column, day_first: bool) -> Column:
-    """Epoch seconds of a naive timestamp; an offset is dropped, not converted."""
-    bare = F.regexp_replace(F.trim(raw), r"(Z|[+-]\d\d:?\d\d)$", "")
-    forms = ["dd/MM/yyyy HH:mm:ss"] if day_first else ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "yyyy-MM-dd HH:mm:ss"]
+    """Epoch seconds of a naive timestamp; an offset is dropped, not converted, and a fraction cut off."""
+    bare = F.regexp_replace(F.trim(raw), r"(:\d\d)(\.\d+)?(Z|[+-]\d\d:?\d\d)?$", "$1")
+    forms = ["dd/MM/yyyy HH:mm:ss"] if day_first else ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss"]
     return F.coalesce(*[F.unix_seconds(F.try_to_timestamp(bare, F.lit(f))) for f in forms])
 
 
@@ -57,8 +60,28 @@ def read_csv(spark: SparkSession, path: str | list[str], day_first: bool = False
     return canonical(spark.read.option("header", True).option("inferSchema", False).csv(path), day_first)
 
 
+class _Utf8(io.RawIOBase):
+    """A stream's bytes, with what isn't UTF-8 replaced."""
+
+    def __init__(self, raw):
+        self.raw, self.decoder, self.held = raw, codecs.getincrementaldecoder("utf-8")("replace"), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.held:
+            data = self.raw.read(1 << 20)
+            self.held = self.decoder.decode(data, not data).encode()
+            if not data:
+                break
+        n = min(len(buffer), len(self.held))
+        buffer[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
 def read_zip(spark: SparkSession, path: str, day_first: bool = False) -> DataFrame:
-    """The first .csv member of each .zip file; one task reads one file, a batch at a time."""
+    """The first .csv member of each .zip file, bytes that aren't UTF-8 replaced; one task reads one file, whose packed bytes it holds, a batch at a time."""
     names = list(ALIASES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +91,9 @@ def read_zip(spark: SparkSession, path: str, day_first: bool = False) -> DataFra
                     member = next((n for n in z.namelist() if n.lower().endswith(".csv")), None)
                     if member is None:
                         raise ValueError("a zip file holds no .csv member")
-                    columns = pa.csv.open_csv(z.open(member)).schema.names
+                    columns = pa.csv.open_csv(_Utf8(z.open(member))).schema.names
                     text = pa.csv.ConvertOptions(column_types={c: pa.string() for c in columns}, strings_can_be_null=True)
-                    for rows in pa.csv.open_csv(z.open(member), convert_options=text):
+                    for rows in pa.csv.open_csv(_Utf8(z.open(member)), convert_options=text):
                         have = {header_name(c): i for i, c in reversed(list(enumerate(rows.schema.names)))}
                         at = [next((have[n] for n in ALIASES[k] if n in have), None) for k in names]
                         yield pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, pa.string()) if i is None else rows.column(i) for i in at], names=[ALIASES[k][0] for k in names])
@@ -79,12 +102,12 @@ def read_zip(spark: SparkSession, path: str, day_first: bool = False) -> DataFra
     return canonical(files.mapInArrow(run, ", ".join(f"`{ALIASES[k][0]}` string" for k in names)), day_first)
 
 
-def read_routes(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
+def read_routes(spark: SparkSession, path: str, least: int = 1, null_island: float | None = None) -> DataFrame:
     """mmsi string, i, t, lat, lon, speed, course from JSON files {mmsi: [[timestamp, lat, lon, speed, course], ...]}, also .gz.
 
     A point with fewer than three items, or a timestamp or coordinate that can't
-    be read, is left out; missing speeds and courses are 0; tracks of fewer than
-    `least` points go. i is the place by time, then by place in the file.
+    be read, is left out, with null_island also one whose position isn't valid;
+    missing speeds and courses are 0; tracks of fewer than `least` points go. i is the place by time, then by place in the file.
     """
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, array<array<string>>>").alias("m"))
     points = raw.select(F.explode("m").alias("mmsi", "points")).select("mmsi", F.posexplode("points").alias("pos", "p"))
@@ -92,6 +115,8 @@ def read_routes(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
     number = lambda n: F.regexp_replace(item(n), '"', "").try_cast("double")
     points = points.where(F.size("p") >= 3).select("mmsi", "pos", time_of(item(0), False).alias("t"), number(1).alias("lat"), number(2).alias("lon"), F.coalesce(number(3), F.lit(0.0)).alias("speed"), F.coalesce(number(4), F.lit(0.0)).alias("course"))
     points = points.dropna(subset=["t", "lat", "lon"])
+    if null_island is not None:
+        points = points.where(valid_position(F.col("lat"), F.col("lon"), null_island))
     track = Window.partitionBy("mmsi")
     points = points.withColumn("n", F.count(F.lit(1)).over(track)).where(F.col("n") >= least)
     return points.withColumn("i", F.row_number().over(track.orderBy("t", "pos")) - 1).select("mmsi", "i", "t", "lat", "lon", "speed", "course")
@@ -104,3 +129,13 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_json(df: DataFrame, path: str) -> None:
     """Compressed JSON lines."""
     df.write.option("compression", "gzip").json(path)
+
+
+def write_routes(fixes: DataFrame, path: str, n_files: int) -> None:
+    """Route files of fixes(mmsi, i, t, lat, lon, sog): n_files compressed JSON texts, each in a folder of its own, a vessel whole in one; readers take a file as one row."""
+    point = F.array(F.concat(F.lit('"'), iso(F.col("t")), F.lit('"')), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("lat", "lon", "sog")], F.lit("null"))
+    said = F.concat(F.lit("["), F.array_join(point, ","), F.lit("]"))
+    tracks = fixes.groupBy("mmsi").agg(F.sort_array(F.collect_list(F.struct("t", "i", said.alias("p")))).alias("ps"))
+    entry = F.concat(F.lit('"'), F.col("mmsi").cast("string"), F.lit('": ['), F.array_join("ps.p", ", "), F.lit("]"))
+    files = tracks.groupBy(F.pmod(F.xxhash64("mmsi"), F.lit(n_files)).alias("file")).agg(F.array_join(F.collect_list(entry), ",\n").alias("entries"))
+    files.select("file", F.concat(F.lit("{"), "entries", F.lit("}")).alias("value")).write.partitionBy("file").option("compression", "gzip").text(path)

@@ -309,6 +309,44 @@ def test_csv_layouts(spark, tmp_path):
         reports.read_csv(spark, str(tmp_path / "d.csv"))
 
 
+def test_files_with_bad_bytes_fractions_and_many_paths(spark, tmp_path):
+    import gzip
+
+    import zstandard
+
+    head, row = "MMSI,BaseDateTime,LAT,LON,VesselType\n", "1,2024-12-31 00:00:08.250,1.5,2.5,"
+    (tmp_path / "a.csv.gz").write_bytes(gzip.compress((head + row + "a\n").encode()))
+    (tmp_path / "b.csv.zst").write_bytes(zstandard.compress((head + row.replace("08.250", "09+02:00") + "b\n").encode()))
+    got = reports.read_csv(spark, [str(tmp_path / "a.csv.gz"), str(tmp_path / "b.csv.zst")]).orderBy("t").collect()
+    assert [(r.t, r.vessel_type) for r in got] == [(1735603208, "a"), (1735603209, "b")]
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("in.csv", (head + row + "caf").encode() + b"\xe9\xff\n" + row.encode() + "Ærø".encode() + b"\n")
+    assert [r.vessel_type for r in reports.read_zip(spark, str(tmp_path / "c.zip")).collect()] == ["caf��", "Ærø"]
+
+
+def test_faults_tracks_and_counted_names(spark):
+    rows = [(200000000, i, 60 * i, 1.0 + i, 2.0) for i in range(5)] + [(200000000, 9, 0, 1.0, 2.0), (200000000, 10, 5, 95.0, 2.0), (200000000, 11, 6, None, 2.0), (200000000, 12, 7, math.nan, 2.0), (200000000, 13, 8, 0.0, 0.0), (7, 0, 0, 1.0, 1.0)]
+    rows += [(300000000, i, 60 * i, 1.0, 2.0) for i in range(9)] + [(400000000, 0, 0, 1.0, 2.0), (400000000, 1, 60, 9.0, 2.0)]
+    df = fixes(spark, rows).withColumn("fault", clean.fault(F.col("mmsi"), F.col("lat"), F.col("lon"), 0.01))
+    assert {r.mmsi: (r.n, r.counts) for r in runs.counted_names(df, ["mmsi"], "fault").collect()} == {200000000: (4, "null island:1,out of range:1,position missing:2"), 7: (1, "identity:1")}
+    got = clean.tracks(df.drop("fault"), 0.01, 3, 10.0).orderBy("i").collect()
+    assert [(r.mmsi, r.i, r.t) for r in got] == [(200000000, k, 60 * k) for k in range(5)]
+
+
+def test_series_and_sets(spark):
+    series = spark.createDataFrame([(0, i, v) for i, v in enumerate([1, 5, 2, 2, 9, 1, 3, 9, 1])], "k long, slot long, active long")
+    assert [(r.place, r.slot) for r in activity.highest(series, 0.1, 2).orderBy("place").collect()] == [(1, 4), (2, 7)]
+    one = activity.peak_spacing(series, 0.5).first()
+    assert one.n_peaks == 3 and one.cv == 0.0 and activity.peak_spacing(series, 0.9).first().cv is None
+    s = activity.summary(series).first()
+    assert (s.n_slots, s.duration, s.most) == (9, 8, 9) and abs(s["mean"] - 33 / 9) < 1e-12
+    line = spark.createDataFrame([(61, 1), (130, 2)], "slot long, active long")
+    grid = activity.gridded_whole(line, 60).orderBy("slot").collect()
+    assert (grid[0].slot, grid[-1].slot, sum(r.active for r in grid)) == (60, 179, 3) and activity.gridded_whole(line.limit(0), 60).count() == 0
+    flags = spark.createDataFrame([(True, None), (None, None), (False, None)], "a boolean, b boolean").select(runs.any_of(F.col("a"), F.col("b")).alias("x"))
+    assert [r.x for r in flags.collect()] == [True, False, False]
+
+
 def test_route_files(spark, tmp_path):
     text = '{"012345678": [["2024-01-01T00:00:10Z", 1.0, 2.0, 3.5, null], ["2024-01-01T00:00:00+02:00", 1.0, 2.0], ["2024-01-01T00:00:05", 1.0], ["bad", 1, 2], ["2024-01-01T00:00:07", "q", 2]], "2": []}'
     (tmp_path / "r.json").write_text(text)
