@@ -22,8 +22,11 @@ find; from the first class on that misses the target recall, items are searched
 for by counting instead: every stretch of an item's length that holds as many of
 its word pairs as the q-gram lemma asks for is a candidate, which loses no match.
 
-The benchmark is read in blocks of bounded size, each compared with all texts,
-so it need not fit anywhere whole.
+The benchmark is read in blocks of bounded words and bytes, each compared with
+all texts, so it need not fit anywhere whole; a block's index is what is broadcast.
+The walks' coins are hashes of step and word and made where they are tossed, for
+the words at hand. An item is never split, so one that is larger than a block is a
+block of its own.
 
 Defined cases: a null or wordless text matches nothing; items of fewer than
 `least` words are searched for without edits, null or wordless ones not at all;
@@ -64,14 +67,16 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Config:
-    """edits: most edits, as a share of the item's words. agree: share of places in which a window that many edits away agrees (measured: tests). places: sampled places of a repetition. recall: target of the candidate search. least: words of the shortest item that may be edited. block_words: words of benchmark items held at once."""
+    """edits: most edits, as a share of the item's words. agree: share of places in which a window that many edits away agrees (measured: tests). places: sampled places of a repetition. recall: target of the candidate search. least: words of the shortest item that may be edited. walked: words of the longest item that walks are tried for. block_words, block_bytes: of benchmark items and of their index, held at once."""
 
     edits: float = 0.2
     agree: float = 0.5
     places: int = 3
     recall: float = 0.99
     least: int = 5
+    walked: int = 64
     block_words: int = 200_000
+    block_bytes: int = 16 << 20
 
     @property
     def repetitions(self) -> int:
@@ -83,23 +88,25 @@ class Config:
         return d if isinstance(n, np.ndarray) else int(d)
 
 
-def walk(words: np.ndarray, start: np.ndarray, stop: np.ndarray, steps: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """(repetitions, windows, places): the words written at the steps (repetitions, places; ascending) by each repetition's walk over words from each start; past stop it writes -1. bits: of coin_bits."""
+def walk(words: np.ndarray, start: np.ndarray, stop: np.ndarray, steps: np.ndarray, bits: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """(repetitions, windows, places): the words written at the steps (repetitions, places; ascending) by each repetition's walk over words from each start; past stop it writes -1. bits: of coin_bits; own: which of its words each of words is, if not the one of that number."""
+    own = words if own is None else own
     out = np.full((len(steps), len(start), steps.shape[1]), -1, np.int64)
     at, last, r = np.tile(start, (len(steps), 1)), len(words) - 1, np.arange(len(steps))[:, None]
     for j in range(int(steps.max()) + 1):
-        word, over = words[np.minimum(at, last)], at >= stop
+        here, over = np.minimum(at, last), at >= stop
+        word = words[here]
         for k, place in zip(*np.nonzero(steps == j)):
             out[k, :, place] = np.where(over[k], -1, word[k])
-        coin = (bits[j // 64, r, word] >> np.uint64(j % 64)) & np.uint64(1)
+        coin = (bits[j // 64, r, own[here]] >> np.uint64(j % 64)) & np.uint64(1)
         at += np.where(over, 0, coin.astype(np.int64))
     return out
 
 
-def coin_bits(words: int, steps: np.ndarray) -> np.ndarray:
+def coin_bits(words: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """64 steps to a number: (lanes, repetitions, words)."""
     lane, r = np.arange(int(steps.max()) // 64 + 1, dtype=np.uint64), np.arange(len(steps), dtype=np.uint64)
-    return mix(mix((lane[:, None] << np.uint64(32)) + r[None, :])[:, :, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(mix((lane[:, None] << np.uint64(32)) + r[None, :])[:, :, None] + words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def keys_of(written: np.ndarray) -> np.ndarray:
@@ -111,12 +118,11 @@ def keys_of(written: np.ndarray) -> np.ndarray:
 
 @dataclass
 class SizeClass:
-    """Items of similar length: their places and coins, and per repetition the sorted keys and whose they are."""
+    """Items of similar length: their places, and per repetition the sorted keys and whose they are."""
 
     high: int
     need: int
     steps: np.ndarray
-    bits: np.ndarray
     keys: np.ndarray
     items: np.ndarray
 
@@ -160,7 +166,7 @@ def found_share(low: int, config: Config, trials: int = 400) -> float:
             flat, size = np.concatenate(parts), 3 * n + np.array(at)
             item = np.cumsum(size) - size
             start = ((item + n)[:, None] + np.arange(d + 1)).ravel()
-            bits = coin_bits(new, steps)
+            bits = coin_bits(np.arange(new), steps)
             ours = keys_of(walk(flat, item, item + n, steps, bits))
             theirs = keys_of(walk(flat, start, np.repeat(item + size, d + 1), steps, bits))
             least = min(least, (theirs.reshape(len(steps), trials, d + 1) == ours[:, :, None]).any(axis=(0, 2)).mean())
@@ -178,7 +184,7 @@ def build(items: list[tuple[int, list[str]]], config: Config) -> Index:
     none = np.empty(0, np.int64)
     index = Index(config, vocabulary, pairs, np.zeros(len(pairs), np.uint64), ids, words, [], none, none, none)
     order = sorted((i for i in range(len(words)) if len(words[i]) >= config.least), key=lambda i: len(words[i]))
-    while order and found_share(low := len(words[order[0]]), config) >= config.recall:
+    while order and (low := len(words[order[0]])) <= config.walked and found_share(low, config) >= config.recall:
         own = [i for i in order if len(words[i]) <= low * 5 // 4]
         order = order[len(own) :]
         n = np.array([len(words[i]) for i in own])
@@ -186,10 +192,10 @@ def build(items: list[tuple[int, list[str]]], config: Config) -> Index:
         index.owners[held] |= np.uint64(1 << len(index.classes))
         flat, stops = np.concatenate([words[i] for i in own]), np.cumsum(n)
         steps = places_of(low, config)
-        bits = coin_bits(wide, steps)
-        keys = keys_of(walk(flat, stops - n, stops, steps, bits))
+        present, local = np.unique(flat, return_inverse=True)
+        keys = keys_of(walk(flat, stops - n, stops, steps, coin_bits(present, steps), local))
         by = np.argsort(keys, axis=1, kind="stable")
-        index.classes.append(SizeClass(int(n.max()), int((n - 1 - 2 * config.most(n)).min()), steps, bits, np.take_along_axis(keys, by, 1), np.array(own)[by]))
+        index.classes.append(SizeClass(int(n.max()), int((n - 1 - 2 * config.most(n)).min()), steps, np.take_along_axis(keys, by, 1), np.array(own, np.int32)[by]))
     index.counted = np.array(sorted([*order, *(i for i in range(len(words)) if len(words[i]) < config.least)]), np.int64)
     own = [np.unique(np.searchsorted(pairs, codes[i])) for i in index.counted]
     pair = np.concatenate([none, *own])
@@ -263,6 +269,7 @@ def candidates(flat: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[
     known, at = known[same], at[same]
     owners = index.owners[at]
     yield from counted(flat, offsets, known, at, index)
+    present, local = np.unique(flat, return_inverse=True)
     # a pair across two texts only lets more windows through
     for bit, c in enumerate(index.classes):
         hit = np.zeros(len(flat) + 1, np.int64)
@@ -272,9 +279,10 @@ def candidates(flat: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[
         start = np.arange(len(flat))
         start = start[total[np.minimum(start + span - 1, len(flat))] - total[:-1] >= c.need]
         stop = offsets[np.searchsorted(offsets, start, side="right")]
+        bits = coin_bits(present, c.steps) if len(start) else None
         for i in range(0, len(start), 4096):
             part = start[i : i + 4096]
-            keys = keys_of(walk(flat, part, stop[i : i + 4096], c.steps, c.bits))
+            keys = keys_of(walk(flat, part, stop[i : i + 4096], c.steps, bits, local))
             for key, own, items in zip(keys, c.keys, c.items):
                 low, n = np.searchsorted(own, key, side="left"), np.searchsorted(own, key, side="right")
                 n -= low
@@ -322,17 +330,23 @@ def matches(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, i
 FOUND = "doc_id long, item_id long, start int, stop int, distance int"
 
 
+def index_bytes(words: list[str], config: Config) -> int:
+    """At most so many bytes of an index are an item's: its keys in all repetitions; of each word the text in the vocabulary and its number, of each pair a code, its owners and who has it."""
+    return 12 * config.repetitions + sum(len(w.encode()) for w in words) + 56 * len(words) + 100
+
+
 def blocks(benchmark: DataFrame, config: Config) -> Iterator[list[tuple[int, list[str]]]]:
-    """The benchmark's items in blocks of config.block_words words; the driver holds one at a time."""
-    block, n = [], 0
+    """The benchmark's items in blocks; the driver holds one at a time."""
+    block, n, size = [], 0, 0
     for row in take(benchmark, "item_id", "text").toLocalIterator():
         words = words_of(row.text)
+        own = index_bytes(words, config)
+        if block and (n + len(words) > config.block_words or size + own > config.block_bytes):
+            yield block
+            block, n, size = [], 0, 0
         if words:
             block.append((row.item_id, words))
-            n += len(words)
-        if n >= config.block_words:
-            yield block
-            block, n = [], 0
+            n, size = n + len(words), size + own
     if block:
         yield block
 

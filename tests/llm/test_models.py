@@ -153,7 +153,7 @@ def test_places_agree_as_configured():
         ids = {w: i + 1 for i, w in enumerate({*a, *b})}
         flat = np.array([ids[w] for w in a + b])
         steps = np.tile(np.arange(int(1.6 * n)), (8, 1))
-        out = decontaminate.walk(flat, np.array([0, n]), np.array([n, len(flat)]), steps, decontaminate.coin_bits(len(ids) + 1, steps))
+        out = decontaminate.walk(flat, np.array([0, n]), np.array([n, len(flat)]), steps, decontaminate.coin_bits(np.arange(len(ids) + 1), steps))
         share.append(np.mean([np.prod(rng.choices(list(x[0] == x[1]), k=3)) for x in out for _ in range(20)]))
     assert np.mean(share) > config.agree**config.places
 
@@ -206,6 +206,34 @@ def test_short_items_and_scripts_without_spaces(spark):
     assert {r.doc_id for r in alone} == {0, 9}
 
 
+@pytest.mark.parametrize("n,length", [(40, 4000), (200, 1000), (20_000, 5), (3000, 15)])
+def test_the_index_of_a_block_is_bounded_in_bytes(spark, n, length):
+    """What is broadcast stays within the block's bytes, whatever the items' length, and every block's items are found."""
+    import pickle
+
+    config = decontaminate.Config(block_bytes=4 << 20)
+    rng = random.Random(length)
+    items = [(i, " ".join(f"word{rng.randrange(500_000)}" for _ in range(length))) for i in range(n)]
+    parts = list(decontaminate.blocks(spark.createDataFrame(items, "item_id long, text string"), config))
+    assert sorted(i for block in parts for i, _ in block) == list(range(n))
+    for block in parts:
+        index = decontaminate.build(block, config)
+        assert len(pickle.dumps(index)) < config.block_bytes
+        own = [block[k] for k in (0, len(block) // 2, len(block) - 1)]
+        texts = [" ".join(["x", *edited(words, config.most(len(words)) // 2, rng), "y"]) for _, words in own]
+        assert {(k, i) for k, (i, _) in enumerate(own)} <= {(k, i) for k, i, *_ in decontaminate.matches(texts, index)}
+
+
+def test_repeated_and_very_long_documents(spark):
+    item = " ".join(f"k{i}" for i in range(30))
+    filler = " ".join(f"f{i % 977}" for i in range(150_000))
+    rows = [(1, f"{filler} {item} {filler}", None, None, None)] + [(2, item, None, None, None)] * 3 + [(None, item, None, None, None), (3, filler, None, None, None)]
+    benchmark = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(frame(spark, rows), benchmark).collect())
+    assert got == Counter({(1, 7, 0): 2, (2, 7, 0): 6, (None, 7, 0): 2})
+    assert [r.doc_id for r in decontaminate.drop_contaminated(frame(spark, rows), benchmark).collect()] == [3]
+
+
 def test_no_benchmark_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
