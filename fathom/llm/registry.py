@@ -21,5 +21,6 @@ ORACLE_SQL = {
     "op3_line_dedup": line_dedup.SQL,
     "op4_chat_format": chat_format.SQL,
     "op6_secret_scan": secret_scan.SQL,
+    "op7_warc_audit": warc_audit.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

@@ -1,6 +1,6 @@
 """WARC fixity audit with Merkle trees.
 
-Records are WARC/1.1 `resource` records, put by the hash of their key and URL into
+Records are WARC/1.1 `resource` records, put by the SHA-256 of their key and URL into
 files of about a given size and ordered there by a segment of that hash, then by
 key. Offsets add up within segments and over the segments of a file, so no task
 sorts a whole file. Per file, a tree is built over the ordered records: a leaf is the SHA-256 of a record with its offset range, a
@@ -15,19 +15,24 @@ Defined cases: null url and html are empty; a null key is a key of its own and
 comes first; repeated rows are records each, their order among equals is that of
 their bytes; a record that one replica lacks is missing or extra, with its range in
 the other, and a record whose key is damaged is both; an empty table gives no files and no findings. Other columns are
-ignored.
+ignored. WARC files may be plain or gzip, in one member or many, and header names
+in any case; a record that is cut short, has no length or one that doesn't fit,
+and bytes of a member that can't be unpacked, are a row that says so, and reading
+goes on at the next record.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked, take
+from .common import BATCH, BATCH_BYTES, Scratch, arrow_docs, checked, take
 
 FILE_BYTES, FANOUT, SEGMENTS = 64 << 20, 16, 256
 NEVER = "1970-01-01T00:00:00Z"
@@ -50,7 +55,8 @@ def files_for(total: int, file_bytes: int = FILE_BYTES) -> int:
 def to_records(pages: DataFrame, n_files: int) -> DataFrame:
     """file, segment, key, data from pages (page_id, url, html)."""
     p = take(pages, "page_id", "url", "html")
-    place = F.pmod(F.xxhash64("page_id", "url"), F.lit(n_files * SEGMENTS)).cast("int")
+    told = F.sha2(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" "), F.coalesce("url", F.lit(""))), 256)
+    place = (F.conv(F.substring(told, 1, 8), 16, 10).cast("long") % (n_files * SEGMENTS)).cast("int")
     return p.select(F.floor(place / SEGMENTS).cast("int").alias("file"), (place % SEGMENTS).alias("segment"), F.col("page_id").alias("key"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("data"))
 
 
@@ -122,31 +128,103 @@ def write_warc(records: DataFrame, path: str) -> None:
     cut.repartition("file").sortWithinPartitions("file", "segment", "key", "sha").select("file", "value").write.partitionBy("file").option("lineSep", end).text(path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[int, int, str, str, bytes]]:
-    """(start, stop, record id, target URI, body) of each record."""
+@dataclass
+class Record:
+    """A record's place in its file (that of its member, if packed), header fields and body; error: what is wrong with it, else null."""
+
+    start: int
+    stop: int
+    record_id: str | None
+    url: str | None
+    body: bytes | None
+    error: str | None = None
+
+
+def parse_warc(data: bytes | memoryview) -> Iterator[Record]:
+    """The records of a file's bytes, plain or gzip, damaged ones too."""
+    view = memoryview(data)
+    if bytes(view[:2]) == b"\x1f\x8b":
+        for start, stop, said, error in _members(view):
+            for r in _records(said):
+                yield Record(start, stop, r.record_id, r.url, r.body, r.error)
+            if error:
+                yield Record(start, stop, None, None, None, error)
+    else:
+        yield from _records(data if isinstance(data, bytes) else bytes(data))
+
+
+def _members(view: memoryview) -> Iterator[tuple[int, int, bytes, str | None]]:
+    """(start, stop, unpacked bytes, error) of each gzip member; after damage, reading goes on at what looks like the next one."""
+    at = 0
+    while at < len(view):
+        unpack, said, error, fed = zlib.decompressobj(31), [], None, at
+        try:
+            while not unpack.eof and fed < len(view):
+                said.append(unpack.decompress(view[fed : fed + (1 << 20)]))
+                fed += 1 << 20
+            error = None if unpack.eof else "member is cut short"
+        except zlib.error:
+            error = "member can't be unpacked"
+        stop = min(fed, len(view)) - len(unpack.unused_data) if unpack.eof else len(view)
+        if error:
+            found = bytes(view[at + 1 :]).find(b"\x1f\x8b\x08")
+            stop = at + 1 + found if found >= 0 else len(view)
+        yield at, stop, b"".join(said), error
+        at = stop
+
+
+def _records(data: bytes) -> Iterator[Record]:
     at = 0
     while at < len(data):
-        cut = data.index(b"\r\n\r\n", at) + 4
-        head = dict(line.split(": ", 1) for line in data[at:cut].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-        stop = cut + int(head["Content-Length"])
-        yield at, stop + 4, head["WARC-Record-ID"], head.get("WARC-Target-URI", ""), data[cut:stop]
-        at = stop + 4
+        cut = data.find(b"\r\n\r\n", at)
+        head = data[at : cut if cut >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head[1:])}
+        size, error = fields.get("content-length", ""), None
+        if not head[0].startswith("WARC/"):
+            error = "no record starts here"
+        elif cut < 0:
+            error = "header is cut short"
+        elif not (size.isascii() and size.isdigit()):
+            error = "no length"
+        else:
+            stop = cut + 4 + int(size)
+            if stop > len(data):
+                error = "body is cut short"
+            elif data[stop : stop + 4] != b"\r\n\r\n"[: max(0, len(data) - stop)] or data[stop + 4 : stop + 9] not in (b"", b"WARC/"):
+                error = "length does not fit"
+        if error:
+            found = data.find(b"\r\n\r\nWARC/", at + 1)
+            end, body = (len(data) if found < 0 else found + 4), None
+        else:
+            end, body = min(stop + 4, len(data)), data[cut + 4 : stop]
+        yield Record(at, end, fields.get("warc-record-id"), fields.get("warc-target-uri"), body, error)
+        at = end
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """path, start, stop, record_id, url, body of all records of the WARC files under a folder. A file is read by one task."""
-    schema = "path string, start long, stop long, record_id string, url string, body binary"
+    """path, start, stop, record_id, url, body, error of all records of the WARC files under a folder. A file is read by one task, which holds its bytes; records come out in batches of bounded bytes."""
+    schema = "path string, start long, stop long, record_id string, url string, body binary, error string"
+    names = ["path", *(f.name for f in fields(Record))]
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     def run(batches):
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = [(name, *r) for r in parse_warc(data.as_py())]
-                cols = list(zip(*rows)) if rows else [[]] * 6
-                types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["path", "start", "stop", "record_id", "url", "body"])
+        for files in batches:
+            for name, data in zip(files.column(0).to_pylist(), files.column(1)):
+                rows, size = [], 0
+                for r in parse_warc(memoryview(data.as_buffer())):
+                    rows.append((name, r.start, r.stop, r.record_id, r.url, r.body, r.error))
+                    size += len(r.body or b"")
+                    if size >= BATCH_BYTES or len(rows) >= BATCH:
+                        yield batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, schema)
+    return arrow_docs(files.select("path", "content")).mapInArrow(run, schema)
 
 
 def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,3 +241,17 @@ def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scratch.save(audit(one, two, scratch), "found").where("status <> 'extra'").select("file", "at", "status")
     rows = one.levels[0].join(checked(found, 64), ["file", "at"], "left")
     return rows.select(F.col("key").alias("page_id"), "file", "start", "stop", "hash", F.coalesce("status", F.lit("intact")).alias("status"))
+
+
+SQL = rf"""
+WITH p AS (SELECT page_id, coalesce(page_id::VARCHAR, 'null') AS k, coalesce(url, '') AS u, coalesce(html, '') AS b FROM pages),
+n AS (SELECT greatest(1, ceil(sum(strlen(b) + 300) / {FILE_BYTES}))::BIGINT AS files FROM p),
+r AS (SELECT page_id, k, ('0x' || substr(sha256(k || ' ' || u), 1, 8))::BIGINT % (files * {SEGMENTS}) AS place,
+      'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || k || '>' || chr(13) || chr(10) || 'WARC-Date: {NEVER}' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || regexp_replace(u, '[\r\n]', ' ', 'g') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(b) || chr(13) || chr(10) || chr(13) || chr(10)
+      || b || chr(13) || chr(10) || chr(13) || chr(10) AS data FROM p, n),
+s AS (SELECT page_id, k, (place // {SEGMENTS})::INT AS file, place % {SEGMENTS} AS segment, strlen(data) AS size, sha256(data) AS sha FROM r),
+o AS (SELECT *, (sum(size) OVER (PARTITION BY file ORDER BY segment, page_id NULLS FIRST, sha ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM s)
+SELECT page_id, file, stop - size AS start, stop, sha256((stop - size) || ':' || stop || ':' || sha) AS hash,
+       CASE substr(sha256(k), 1, 2) WHEN '00' THEN 'corrupt' WHEN '01' THEN 'corrupt' WHEN '02' THEN 'corrupt' WHEN '03' THEN 'missing' ELSE 'intact' END AS status FROM o
+"""

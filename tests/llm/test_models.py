@@ -273,6 +273,78 @@ def test_warc_files_come_back(spark, tmp_path):
     assert {(int(re.search(r"file=(\d+)", r.path)[1]), r.start, r.stop) for r in got} == spans
 
 
+def warc(*records):
+    return [f"WARC/1.1\r\nwarc-record-id: <{i}>\r\nCONTENT-LENGTH: {len(b)}\r\nWARC-Target-URI:u{i}\r\n\r\n".encode() + b + b"\r\n\r\n" for i, b in enumerate(records)]
+
+
+def read_back(data):
+    return [(r.record_id, r.body, r.error) for r in warc_audit.parse_warc(data)]
+
+
+def test_warc_headers_in_any_case_and_gzip_members():
+    import gzip
+
+    parts = warc(b"one", b"", b"\r\n\r\nWARC/", b"\xff" * 3000)
+    want = [(f"<{i}>", b, None) for i, b in enumerate([b"one", b"", b"\r\n\r\nWARC/", b"\xff" * 3000])]
+    assert read_back(b"".join(parts)) == want and read_back(gzip.compress(b"".join(parts))) == want
+    packed = [gzip.compress(p) for p in parts]
+    assert read_back(b"".join(packed)) == want
+    ends = np.cumsum([len(p) for p in packed])
+    assert [(r.start, r.stop) for r in warc_audit.parse_warc(b"".join(packed))] == list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+    assert [r.url for r in warc_audit.parse_warc(b"".join(parts))] == ["u0", "u1", "u2", "u3"] and not read_back(b"")
+
+
+def test_damaged_warc_records_are_rows_and_reading_goes_on():
+    import gzip
+
+    a, b, c = warc(b"first", b"second body", b"third")
+    assert read_back(a + b + c[:-7]) == [("<0>", b"first", None), ("<1>", b"second body", None), ("<2>", None, "body is cut short")]
+    assert read_back(a + c[:20]) == [("<0>", b"first", None), (None, None, "header is cut short")]
+    assert read_back(a + b.replace(b": 11", b": 7") + c) == [("<0>", b"first", None), ("<1>", None, "length does not fit"), ("<2>", b"third", None)]
+    assert read_back(a + b.replace(b": 11", b": x") + c)[1:] == [("<1>", None, "no length"), ("<2>", b"third", None)]
+    assert read_back(b"junk\r\n\r\n" + a) == [(None, None, "no record starts here"), ("<0>", b"first", None)]
+    assert read_back(a[:-4]) == [("<0>", b"first", None)]
+    packed = [gzip.compress(p) for p in (a, b, c)]
+    hurt = packed[1][:14] + b"\x00\xff\x00" + packed[1][17:]
+    got = read_back(packed[0] + hurt + packed[2])
+    assert got[0] == ("<0>", b"first", None) and got[-1] == ("<2>", b"third", None) and any(e for *_, e in got[1:-1])
+    got = read_back(packed[0] + packed[1][:-15])
+    assert got[0] == ("<0>", b"first", None) and got[-1][2] == "member is cut short"
+
+
+def test_warc_files_are_read_in_batches_of_bounded_bytes(spark, tmp_path, monkeypatch):
+    import gzip
+
+    (tmp_path / "a.warc").write_bytes(b"".join(warc(*[bytes([65 + i % 20]) * 300_000 for i in range(40)])))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in warc(b"x", b"y")) + b"\x1f\x8b broken")
+    got = warc_audit.read_warc(spark, str(tmp_path)).collect()
+    assert sum(len(r.body) for r in got if r.body and r.path.endswith("a.warc")) == 12_000_000
+    assert [(r.body and bytes(r.body), r.error is None) for r in got if r.path.endswith("gz")] == [(b"x", True), (b"y", True), (None, False)]
+
+
+def test_trees_equal_ones_made_by_hashlib(spark):
+    import hashlib
+
+    scratch, sha = Scratch(spark, "t"), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    records = warc_audit.to_records(pages(spark), 2)
+    tree = warc_audit.Tree(records, scratch, "a", 4)
+    files = defaultdict(list)
+    for r in records.collect():
+        files[r.file].append((r.segment, -1 if r.key is None else r.key, sha(r.data), len(r.data.encode())))
+    roots = {}
+    for file, rows in files.items():
+        at, nodes = 0, []
+        for *_, told, size in sorted(rows):
+            nodes.append((at, at + size, sha(f"{at}:{at + size}:{told}")))
+            at += size
+        while len(nodes) > 1:
+            groups = [nodes[i : i + 4] for i in range(0, len(nodes), 4)]
+            nodes = [(g[0][0], g[-1][1], sha(",".join(f"{a}:{b}:{h}" for a, b, h in g))) for g in groups]
+        roots[file] = nodes[0]
+    heights = {f: int(np.ceil(np.log(len(rows)) / np.log(4) - 1e-9)) for f, rows in files.items()}
+    assert {f: tuple(tree.levels[heights[f]].where(f"file = {f}").select("start", "stop", "hash").first()) for f in files} == roots
+
+
 @pytest.mark.parametrize("hurt", ["false", "key = 17", "key % 7 = 0", "true"])
 def test_audit_finds_exactly_the_changed_records(spark, hurt):
     scratch = Scratch(spark, "t")
