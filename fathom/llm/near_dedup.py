@@ -11,16 +11,22 @@ smallest member; after the components of those links, members outside a bucket's
 largest component are compared with the others of the bucket, so every pair of a
 bucket that isn't joined already is looked at. Those comparisons are of sketches,
 one bit of each of 2048 circulant coordinates, inside the join and in the first
-band a pair shares; only pairs whose sketches are close come out of it. Every
+band a pair shares; only pairs whose sketches are close come out of it. A bucket
+with more than HOT such pairs is not compared member by member: sets so similar
+share one of their rarest shingles (the first quarter of each set, in any one order
+of all shingles; here by how often they occur among the members), so its members meet by
+those. Texts of one template that differ in more than a quarter then never meet.
+Where a rare shingle is shared by too many in turn, its members alone are compared
+in the bucket. Every
 link is confirmed on full sets. Four rows in 32 bands miss a pair of similarity
 0.75 with a probability of 5e-6, the sketches one with 3e-7 (five standard
 deviations).
 
 Defined cases: null or blank text has an empty set, links with nothing and is a
 component of its own; fewer than five words make one shingle; rows with one
-doc_id are one document that has the links of each; a row with a null doc_id
-takes part through its equals only, and its component is null if it has none;
-an empty table gives an empty result. Other columns are ignored.
+doc_id are one document that has the links of each; rows with a null doc_id and
+one text are one document, whose component is null, and which is kept, if no doc_id
+is reachable; doc_ids are below 2^62; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +48,10 @@ K = BANDS * ROWS
 #: Similarity in hundredths; bits of a sketch, and the most of them in which such a pair may differ: an eighth and five standard deviations.
 PERCENT, BITS = 75, 2048
 APART = int(BITS / 8 + 5 * (BITS * 7 / 64) ** 0.5)
+#: Pairs of a bucket, or of a shingle, beyond which members are not compared one by one at once; parts of the hash range in which shingles are counted.
+HOT, PARTS = 20_000, 1 << 18
 LONGS = [f"s{i}" for i in range(BITS // 64)]
+NAMELESS = 1 << 62
 SHARED = [f"b{i}" for i in range(BANDS)]
 
 
@@ -168,6 +177,8 @@ def verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, label: str) -> D
 def near_dedup(df: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of df (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = arrow_docs(take(df, "doc_id", "text"))
+    # a null doc_id is replaced by a hash of the text, above all others
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 2) + NAMELESS))
     signed = scratch.save(docs.mapInArrow(_sign, SIGNED), "signed")
     full = signed.where("n > 0")
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
@@ -191,28 +202,93 @@ def near_dedup(df: DataFrame, scratch: Scratch) -> DataFrame:
     ruled = classes.join(named, "node", "left").select("d1", "d2", F.coalesce("component_id", "node").alias("component_id"))
     ruled = scratch.save(ruled.groupBy("d1", "d2").agg(F.min("component_id").alias("component_id")), "ruled")
     out = full.join(ruled, ["d1", "d2"]).select("doc_id", "n", "component_id").unionByName(signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = [F.when(F.col(c) < NAMELESS, F.col(c)).alias(c) for c in ("doc_id", "component_id")]
+    out = out.select(F.col("n").cast("long").alias("n_shingles"), *named)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _part_counts(batches):
+    """How many of the batch's shingles fall in each part of the hash range."""
+    for batch in batches:
+        sets = [shingles(t) for t in batch.column(0).to_pylist()]
+        part, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]) >> np.uint64(64 - PARTS.bit_length() + 1), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(n)], names=["part", "n"])
+        release()
+
+
+def rarest(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many of a set's first items, in the order of the counts of their parts, that two sets which are similar enough share one."""
+    order = np.lexsort((items, counts[(items >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)]))
+    return items[order[: len(items) - (PERCENT * len(items) + 99) // 100 + 1]]
+
+
+def _rare(docs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, n, item: the rarest shingles of the nodes' texts. The counts are PARTS numbers, whatever the input."""
+    texts = docs.join(checked(nodes, 24), "doc_id", "left_semi").select("doc_id", "text")
+    found = texts.select("text").mapInArrow(_part_counts, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(PARTS, np.int64)
+    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                rare = [rarest(x, shared.value) for x in sets]
+                size = [len(x) for x in rare]
+                node = np.repeat(np.array(part.column(0).to_pylist(), np.int64), size)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat([len(x) for x in sets], size).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.uint64), *rare]).view(np.int64))], names=["node", "n", "item"])
+            release()
+
+    return scratch.save(texts.mapInArrow(run, "node long, n int, item long").distinct(), "rare")
+
+
+def _mixed(members: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """by, main (the root that most members of a group have) of groups of members(by, root) with several roots: those of at most HOT pairs beside the main one, and the others."""
+    sizes = members.groupBy(by, "root").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy(by).agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("all")).where("roots > 1")
+    main = main.select(by, F.col("main.root").alias("main"), ((F.col("all") - F.col("main.c")) * F.col("all") > HOT).alias("hot"))
+    return main.where("NOT hot").drop("hot"), main.where("hot").drop("hot")
+
+
+def _apart(l: str, r: str) -> Column:
+    return sum((F.bit_count(F.col(f"{l}.{c}").bitwiseXOR(F.col(f"{r}.{c}"))) for c in LONGS[1:]), F.bit_count(F.col(f"{l}.s0").bitwiseXOR(F.col(f"{r}.s0"))))
+
+
+def _close(members: DataFrame, by: str, sketches: DataFrame, once: bool) -> DataFrame:
+    """a, b: pairs of a group with different roots and close sketches, one of them beside the group's main root. once: members have a band, and a pair counts in the first band it shares."""
+    col = F.col
+    one, two = (x.join(sketches, ["node", "n"]).alias(k) for k, x in (("l", members.where("NOT in_main")), ("r", members)))
+    met = (col(f"l.{by}") == col(f"r.{by}")) & (col("l.root") != col("r.root")) & (col("r.in_main") | (col("l.node") < col("r.node"))) & _near(col("l.n"), col("r.n")) & (_apart("l", "r") <= APART)
+    if once:
+        for i, c in enumerate(SHARED):  # an earlier band has them together already
+            met = met & ((col("l.band") <= i) | (col(f"l.{c}") != col(f"r.{c}")))
+    return one.join(two, met).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
 def _unmet(docs: DataFrame, members: DataFrame, roots: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of a bucket that aren't joined yet, weren't compared and have close sketches: those outside its largest component against all of the bucket."""
     rooted = members.select("key", "band", "node", "n").join(roots, "node", "left").select("key", "band", "node", "n", F.coalesce("root", "node").alias("root"))
     rooted = scratch.save(rooted, "rooted")
-    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    main = scratch.save(main.select("key", F.col("main.root").alias("main")), "main")
-    live = scratch.save(rooted.join(main, "key").select("key", "band", "node", "n", "root", (F.col("root") == F.col("main")).alias("in_main")), "live")
+    cool, hot = _mixed(rooted, "key")
+    main = scratch.save(cool.withColumn("hot", F.lit(False)).unionByName(hot.withColumn("hot", F.lit(True))), "main")
+    live = scratch.save(rooted.join(main, "key").select("key", "band", "node", "n", "root", (F.col("root") == F.col("main")).alias("in_main"), "hot"), "live")
     nodes = scratch.save(live.select(F.col("node").alias("doc_id")).distinct(), "livenodes")
     sketches = docs.join(checked(nodes, 24), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sketches, SKETCHED)
     sketches = scratch.save(sketches.distinct(), "sketches")
-    one, two = (x.join(sketches, ["node", "n"]).alias(k) for k, x in (("l", live.where("NOT in_main")), ("r", live)))
-    col = F.col
-    apart = sum((F.bit_count(col(f"l.{c}").bitwiseXOR(col(f"r.{c}"))) for c in LONGS[1:]), F.bit_count(col("l.s0").bitwiseXOR(col("r.s0"))))
-    met = (col("l.key") == col("r.key")) & (col("l.root") != col("r.root")) & (col("r.in_main") | (col("l.node") < col("r.node"))) & _near(col("l.n"), col("r.n")) & (apart <= APART)
-    for i, c in enumerate(SHARED):  # an earlier band has them together already
-        met = met & ((col("l.band") <= i) | (col(f"l.{c}") != col(f"r.{c}")))
-    found = one.join(two, met).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-    return found.join(pairs, ["a", "b"], "left_anti")
+    found = _close(live.where("NOT hot"), "key", sketches, True)
+    hot = scratch.save(live.where("hot"), "hot")
+    if not hot.isEmpty():
+        known = scratch.save(hot.select("node", "n", "root").distinct(), "hotnodes")
+        rare = _rare(docs, known.select(F.col("node").alias("doc_id")).distinct(), scratch).join(known, ["node", "n"])
+        rare = scratch.save(rare.select("item", "node", "n", "root"), "rarerooted")
+        few, many = _mixed(rare, "item")
+        few = scratch.save(few, "few")
+        met = scratch.save(rare.join(few, "item").select("item", "node", "n", "root", (F.col("root") == F.col("main")).alias("in_main")), "met")
+        crowd = scratch.save(rare.join(scratch.save(many.select("item"), "many"), "item", "left_semi").select("node").distinct(), "crowd")
+        found = found.unionByName(_close(met, "item", sketches, False)).unionByName(_close(hot.join(checked(crowd, 24), "node", "left_semi"), "key", sketches, True))
+    return found.distinct().join(pairs, ["a", "b"], "left_anti")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
