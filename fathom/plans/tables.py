@@ -65,7 +65,12 @@ def checked(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if small(df, row_bytes) else df
 
 
+def within_bounds(df: DataFrame, row_bytes: Column) -> bool:
+    """Whether a written table of unequal rows may be broadcast; row_bytes is summed over the table."""
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and total <= BROADCAST_BYTES
+
+
 def weighed(df: DataFrame, row_bytes: Column) -> DataFrame:
     """Like checked, for rows of unequal size: row_bytes, summed over the table, is what is held against the bounds."""
-    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
+    return F.broadcast(df) if within_bounds(df, row_bytes) else df
