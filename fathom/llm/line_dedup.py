@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.plans.tables import weighed
+from fathom.plans.tables import weighed, within_bounds
 
 from .common import Scratch, checked, digest, take
 
@@ -52,8 +52,11 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int, scratch: Scratch
 def dedup_lines(df: DataFrame, host: str, text: str, scratch: Scratch, ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_emptied: bool = False) -> DataFrame:
     """df with the text rewritten and n_lines, n_dropped added. keep_emptied: a page of boilerplate alone stays as it is.
 
-    Only digests of lines move: the marked line numbers of a page go back to
-    it by a digest of host and text, so equal pages share one decision.
+    Boilerplate is some lines a host, whatever the number of pages. While its
+    digests, gathered by host, are within the broadcast bounds, pages drop their
+    lines where they are, and no text moves. With more hosts than that, the
+    marked line numbers of a page go back to it by a digest of the row, so equal
+    pages share one decision.
     """
     names = df.columns
     own = [f"c{i}" for i in range(len(names))]
@@ -61,23 +64,43 @@ def dedup_lines(df: DataFrame, host: str, text: str, scratch: Scratch, ratio: fl
     at = lambda n: f"c{names.index(n) if n in names else low.index(n.lower())}"
     h, t = F.col(at(host)), F.col(at(text))
     flat = df.toDF(*own)
-    pages = flat.select(h.alias("host"), t.alias("text"))
-    common = boilerplate(pages, ratio, min_pages, scratch)
+    common = boilerplate(flat.select(h.alias("host"), t.alias("text")), ratio, min_pages, scratch)
+    by_host = scratch.save(common.groupBy(F.col("host").alias("of")).agg(F.collect_list(F.struct("a", "b")).alias("marks")), "byhost")
+    if within_bounds(by_host, 64 + 16 * F.size("marks")):
+        marked = flat.join(F.broadcast(by_host), h.eqNullSafe(F.col("of")), "left")
+        dropped = lambda line: (_bare(line) != "") & F.array_contains("marks", F.struct(*[c.alias(n) for c, n in zip(digest(_bare(line)), "ab")]))
+        left = F.when(F.col("marks").isNotNull(), F.filter(lines_of(t), lambda line: ~dropped(line))).otherwise(lines_of(t))
+    else:
+        marked = _numbered(flat, h, t, common, scratch)
+        left = F.when(F.col("gone").isNotNull(), F.filter(lines_of(t), lambda _, i: ~F.array_contains("gone", i))).otherwise(lines_of(t))
+    out = marked.withColumn("left", left).withColumn("n", F.coalesce(F.size(lines_of(t)) - F.size("left"), F.lit(0)))
+    out = out.withColumn("rest", F.when(F.col("n") > 0, F.array_join("left", "\n")).otherwise(t))
+    if keep_emptied:
+        empty = (F.col("n") > 0) & (_bare(F.regexp_replace("rest", "\n", "")) == "")
+        out = out.withColumn("emptied", empty).withColumn("n", F.when(F.col("emptied"), 0).otherwise(F.col("n"))).withColumn("rest", F.when(F.col("emptied"), t).otherwise(F.col("rest")))
+    cols = [(F.col("rest") if c == at(text) else F.col(c)).alias(n) for c, n in zip(own, names)]
+    return out.select(*cols, F.coalesce(F.size(lines_of(t)), F.lit(0)).alias("n_lines"), F.col("n").alias("n_dropped"))
+
+
+def _numbered(flat: DataFrame, h: Column, t: Column, common: DataFrame, scratch: Scratch) -> DataFrame:
+    """flat with gone: the numbers of the lines that are boilerplate, null without any. Only digests of lines are joined with the boilerplate."""
     salt = digest(*[F.col(c) for c, kind in flat.dtypes if "map<" not in kind and kind != "variant"])
     lines = flat.select(h.alias("h"), *[c.alias(n) for c, n in zip(salt, ("p", "q"))], F.posexplode(F.transform(lines_of(t), _bare)).alias("i", "line")).where("line <> ''")
     a, b = digest(F.col("line"))
     lines = lines.select("h", "p", "q", "i", a.alias("la"), b.alias("lb"))
     hit = lines.join(checked(common, 48), F.col("h").eqNullSafe(F.col("host")) & (F.col("la") == F.col("a")) & (F.col("lb") == F.col("b")))
     drops = scratch.save(hit.groupBy("p", "q").agg(F.collect_set("i").alias("gone")), "drops")
-    marked = flat.withColumn("p", salt[0]).withColumn("q", salt[1]).join(weighed(drops, 48 + 8 * F.size("gone")), ["p", "q"], "left")
-    split = lines_of(t)
-    rest = F.filter(split, lambda _, i: ~F.array_contains("gone", i))
-    out = marked.withColumn("n", F.coalesce(F.size("gone"), F.lit(0))).withColumn("rest", F.when(F.col("n") > 0, F.array_join(rest, "\n")).otherwise(t))
-    if keep_emptied:
-        empty = (F.col("n") > 0) & (_bare(F.regexp_replace("rest", "\n", "")) == "")
-        out = out.withColumn("emptied", empty).withColumn("n", F.when(F.col("emptied"), 0).otherwise(F.col("n"))).withColumn("rest", F.when(F.col("emptied"), t).otherwise(F.col("rest")))
-    cols = [(F.col("rest") if c == at(text) else F.col(c)).alias(n) for c, n in zip(own, names)]
-    return out.select(*cols, F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.col("n").alias("n_dropped"))
+    return flat.withColumn("p", salt[0]).withColumn("q", salt[1]).join(weighed(drops, 48 + 8 * F.size("gone")), ["p", "q"], "left")
+
+
+def dedup_pages(pages: DataFrame, scratch: Scratch, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """pages(url, html, ...) without its hosts' boilerplate lines, n_lines and n_dropped added; a URL without a host belongs to the null host."""
+    found = pages.columns
+    hosted = pages.toDF(*[f"p{i}" for i in range(len(found))])
+    low = [n.lower() for n in found]
+    at = lambda n: f"p{found.index(n) if n in found else low.index(n)}"
+    out = dedup_lines(hosted.withColumn("page_host", host_of(F.col(at("url")))), "page_host", at("html"), scratch, ratio, min_pages)
+    return out.drop("page_host").toDF(*found, "n_lines", "n_dropped")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 
 from fathom.llm import chat_format, exact_dedup, line_dedup, secret_scan, sharding
 from fathom.llm.common import Scratch
+from fathom.plans import tables
 
 from .helpers import DOCS, clashing, corpus, frame
 
@@ -152,8 +153,10 @@ def test_written_shards_hold_their_rows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == out.count()
 
 
+@pytest.mark.parametrize("bound", [0, 500_000])
 @pytest.mark.parametrize("keep", [False, True])
-def test_line_dedup_matches_brute_force(spark, keep):
+def test_line_dedup_matches_brute_force(spark, keep, bound, monkeypatch):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", bound)
     rows = []
     for i in range(40):
         lines = [f"own {i}", "menu ", "  menu", "", "often" if i % 3 else "rare" if i == 3 else "x"]
@@ -175,6 +178,18 @@ def test_line_dedup_matches_brute_force(spark, keep):
     assert not line_dedup.dedup_lines(frame(spark, []), "source", "text", Scratch(spark, "t")).collect()
 
 
+def test_boilerplate_of_pages_by_host(spark):
+    page = lambda h, i: (i, f"https://{h}.example.org/{i}", f"<nav>menu of {h}</nav>\n<p>own {i}</p>\n<i>shared</i>", 1)
+    rows = [page(h, i) for h in "ab" for i in range(30)] + [(99, "no address", "<nav>menu of a</nav>\nx", 1), (None, None, None, 1)]
+    rows = [r[:2] + (r[2] and r[2].replace("<i>shared</i>", "<i>shared</i>" if "a.ex" in r[1] else f"v{r[0]}"), 1) for r in rows]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, HTML int")
+    got = {(r[0], r[1]): (r[2], r.n_lines, r.n_dropped) for r in line_dedup.dedup_pages(df, Scratch(spark, "t")).collect()}
+    for i, u, t, _ in rows:
+        host = (u or "").partition("//")[2][:1]
+        want = (f"<p>own {i}</p>", 3, 2) if host == "a" else (f"<p>own {i}</p>\nv{i}", 3, 1) if host == "b" else (t, len(t.split("\n")) if t else 0, 0)
+        assert got[i, u] == want
+
+
 def test_hosts(spark):
     urls = ["http://A.example.com/x?y#z", "https://b.example.org:8080/", "no url", "", None]
     got = [r.h for r in spark.createDataFrame([(u,) for u in urls], "u string").select(line_dedup.host_of(line_dedup.F.col("u")).alias("h")).collect()]
