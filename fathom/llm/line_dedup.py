@@ -65,16 +65,20 @@ def dedup_lines(df: DataFrame, host: str, text: str, scratch: Scratch, ratio: fl
     h, t = F.col(at(host)), F.col(at(text))
     flat = df.toDF(*own)
     common = boilerplate(flat.select(h.alias("host"), t.alias("text")), ratio, min_pages, scratch)
-    by_host = scratch.save(common.groupBy(F.col("host").alias("of")).agg(F.collect_list(F.struct("a", "b")).alias("marks")), "byhost")
-    if within_bounds(by_host, 64 + 16 * F.size("marks")):
+    by_host = scratch.save(common.groupBy(F.col("host").alias("of")).agg(F.collect_list("a").alias("firsts"), F.collect_list(F.struct("a", "b")).alias("marks")), "byhost")
+    if within_bounds(by_host, 64 + 24 * F.size("marks")):
         marked = flat.join(F.broadcast(by_host), h.eqNullSafe(F.col("of")), "left")
-        dropped = lambda line: (_bare(line) != "") & F.array_contains("marks", F.struct(*[c.alias(n) for c, n in zip(digest(_bare(line)), "ab")]))
+        # the second half of a digest is made only for lines whose first is among the host's
+        a, b = (lambda line, k=k: digest(_bare(line))[k] for k in (0, 1))
+        dropped = lambda line: F.array_contains("firsts", a(line)) & (_bare(line) != "") & F.array_contains("marks", F.struct(a(line).alias("a"), b(line).alias("b")))
         left = F.when(F.col("marks").isNotNull(), F.filter(lines_of(t), lambda line: ~dropped(line))).otherwise(lines_of(t))
     else:
         marked = _numbered(flat, h, t, common, scratch)
         left = F.when(F.col("gone").isNotNull(), F.filter(lines_of(t), lambda _, i: ~F.array_contains("gone", i))).otherwise(lines_of(t))
-    out = marked.withColumn("left", left).withColumn("n", F.coalesce(F.size(lines_of(t)) - F.size("left"), F.lit(0)))
-    out = out.withColumn("rest", F.when(F.col("n") > 0, F.array_join("left", "\n")).otherwise(t))
+    # as a variable of a lambda, what is left is worked out once for both
+    found = F.transform(F.array(left), lambda x: F.struct(F.size(x).alias("size"), F.array_join(x, "\n").alias("text")))[0]
+    out = marked.withColumn("left", found).withColumn("n", F.coalesce(F.size(lines_of(t)) - F.col("left.size"), F.lit(0)))
+    out = out.withColumn("rest", F.when(F.col("n") > 0, F.col("left.text")).otherwise(t))
     if keep_emptied:
         empty = (F.col("n") > 0) & (_bare(F.regexp_replace("rest", "\n", "")) == "")
         out = out.withColumn("emptied", empty).withColumn("n", F.when(F.col("emptied"), 0).otherwise(F.col("n"))).withColumn("rest", F.when(F.col("emptied"), t).otherwise(F.col("rest")))
