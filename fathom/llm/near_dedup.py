@@ -7,12 +7,13 @@ second one, shifted circularly by 0, 1, 2 ... places, gives each coordinate's
 order, so all coordinates of a shingle are neighbours in one table.
 
 Plan: equal sets become one class. Classes that share a band meet their bucket's
-smallest member; after the components of those links, members outside a bucket's
+smallest member, and in crowded buckets a few members of what that joins; after
+the components of those links, members outside a bucket's
 largest component are compared with the others of the bucket, so every pair of a
 bucket that isn't joined already is looked at. Those comparisons are of sketches,
 one bit of each of 2048 circulant coordinates, inside the join and in the first
 band a pair shares; only pairs whose sketches are close come out of it. A bucket
-with more than HOT such pairs is not compared member by member: sets so similar
+with more than HOT such members is not compared member by member: sets so similar
 share one of their rarest shingles (the first quarter of each set, in any one order
 of all shingles; here by how often they occur among the members), so its members meet by
 those. Texts of one template that differ in more than a quarter then never meet.
@@ -48,8 +49,10 @@ K = BANDS * ROWS
 #: Similarity in hundredths; bits of a sketch, and the most of them in which such a pair may differ: an eighth and five standard deviations.
 PERCENT, BITS = 75, 2048
 APART = int(BITS / 8 + 5 * (BITS * 7 / 64) ** 0.5)
-#: Pairs of a bucket, or of a shingle, beyond which members are not compared one by one at once; parts of the hash range in which shingles are counted.
-HOT, PARTS = 20_000, 1 << 18
+#: Members of a bucket, or of a shingle, beside its largest component, beyond which they are not compared with all others at once; up to that, the work grows with the bucket's size alone. Parts of the hash range in which shingles are counted.
+HOT, PARTS = 1024, 1 << 18
+#: Pairs of a bucket from which on its members are compared with so many members of its largest component before all others.
+CROWDED, HUBS = 20_000, 4
 LONGS = [f"s{i}" for i in range(BITS // 64)]
 NAMELESS = 1 << 62
 SHARED = [f"b{i}" for i in range(BANDS)]
@@ -178,7 +181,8 @@ def near_dedup(df: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of df (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = arrow_docs(take(df, "doc_id", "text"))
     # a null doc_id is replaced by a hash of the text, above all others
-    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 2) + NAMELESS))
+    named = F.when(F.col("doc_id") >= NAMELESS, F.raise_error(F.lit("a doc_id is 2^62 or more")).cast("long")).otherwise(F.col("doc_id"))
+    docs = docs.withColumn("doc_id", F.coalesce(named, F.shiftrightunsigned(F.xxhash64("text"), 2) + NAMELESS))
     signed = scratch.save(docs.mapInArrow(_sign, SIGNED), "signed")
     full = signed.where("n > 0")
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
@@ -193,10 +197,13 @@ def near_dedup(df: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch.save(pairs, "pairs")
     links = verify(docs, pairs, scratch, "star")
     roots = components(links, scratch, "one")
+    hubs = scratch.save(_hubs(members, roots).join(pairs, ["a", "b"], "left_anti"), "hubs")
+    if not hubs.isEmpty():
+        links = scratch.save(links.union(verify(docs, hubs, scratch, "hub")), "huball")
+        roots, pairs = components(links, scratch, "hubbed"), pairs.union(hubs)
     others = scratch.save(_unmet(docs, members, roots, pairs, scratch), "unmet")
     if not others.isEmpty():
-        more = verify(docs, others, scratch, "rest")
-        roots = components(scratch.save(links.union(more), "all"), scratch, "two")
+        roots = components(scratch.save(links.union(verify(docs, others, scratch, "rest")), "all"), scratch, "two")
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     named = roots.join(least, "root").select("node", "component_id")
     ruled = classes.join(named, "node", "left").select("d1", "d2", F.coalesce("component_id", "node").alias("component_id"))
@@ -245,13 +252,24 @@ def _rare(docs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _mixed(members: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-    """by, main (the root that most members of a group have) of groups of members(by, root) with several roots: those of at most HOT pairs beside the main one, and the others."""
+    """by, main (the root that most members of a group have) of groups of members(by, root) with several roots: those of at most HOT members beside the main one's, and the others."""
     sizes = members.groupBy(by, "root").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy(by).agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("all")).where("roots > 1")
-    main = main.select(by, F.col("main.root").alias("main"), ((F.col("all") - F.col("main.c")) * F.col("all") > HOT).alias("hot"))
+    main = main.select(by, F.col("main.root").alias("main"), (F.col("all") - F.col("main.c") > HOT).alias("hot"))
     return main.where("NOT hot").drop("hot"), main.where("hot").drop("hot")
 
 
+def _hubs(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: in buckets with more than CROWDED pairs to look at, each member outside the largest component with a few members of that, chosen by hash: the least member may be a poor centre of a large group."""
+    rooted = members.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), *[F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n")).alias(f"h{i}") for i in range(HUBS)])
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "root", *[f"h{i}" for i in range(HUBS)])).alias("m"), F.sum("c").alias("all"))
+    main = main.where((F.col("all") - F.col("m.c")) * F.col("all") > CROWDED)
+    hubs = main.select("key", F.col("m.root").alias("main"), F.explode(F.array(*[f"m.h{i}" for i in range(HUBS)])).alias("hub"))
+    met = rooted.join(hubs, "key").where((F.col("root") != F.col("main")) & _near(F.col("n"), F.col("hub.n")))
+    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
 def _apart(l: str, r: str) -> Column:
     return sum((F.bit_count(F.col(f"{l}.{c}").bitwiseXOR(F.col(f"{r}.{c}"))) for c in LONGS[1:]), F.bit_count(F.col(f"{l}.s0").bitwiseXOR(F.col(f"{r}.s0"))))
 

@@ -80,6 +80,7 @@ def template_rows(share, n=60, size=100):
 def test_near_dedup_of_hot_buckets_matches_brute_force(spark, monkeypatch, rows, hot):
     """Whether a bucket's members meet one by one, by their rarest shingles, or both."""
     monkeypatch.setattr(near_dedup, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "CROWDED", hot)
     got = near_dedup.near_dedup(frame(spark, rows), Scratch(spark, "t")).collect()
     component, _ = brute_components(rows)
     assert {(r.doc_id, r.component_id) for r in got} == {(r[0], component[r[0]]) for r in rows}
@@ -106,6 +107,11 @@ def test_near_dedup_null_ids(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter(want)
 
 
+def test_near_dedup_says_no_to_ids_beyond_its_range(spark):
+    with pytest.raises(Exception, match="2\\^62"):
+        near_dedup.near_dedup(frame(spark, [(1 << 62, "a b c", None, None, None)]), Scratch(spark, "t")).collect()
+
+
 def test_circulant_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     for j in (0.2, 0.5, 0.8):
