@@ -36,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of the least doc_id, null ones last, among these of the least digest. Rows are nodes by doc_id and text, so null and repeated ids take part as well."""
     scratch, docs = Scratch(spark, "near"), take(docs, *COLUMNS)
-    node = F.xxhash64("doc_id", "text")
+    node = F.shiftright(F.xxhash64("doc_id", "text"), 1)
     a, b = digest(*[F.col(c) for c in COLUMNS], *[F.col(c).isNull() for c in COLUMNS])
     found = near_dedup.near_dedup(docs.select(node.alias("doc_id"), "text"), scratch)
     named = scratch.save(found.select(F.col("doc_id").alias("node"), "component_id").distinct(), "named")
